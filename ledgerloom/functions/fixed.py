@@ -155,3 +155,63 @@ CLAUSE_FIELDS = {
     "sla": ("uptime_commitment", "service_credit_formula", "response_time", "resolution_time", "covered_services"),
     "volume_tiers": ("minimum_commitment", "volume_tiers", "tier_basis", "true_up_cadence", "overage_charges"),
 }
+
+# ---- documents
+SUPPORTED_EXTENSIONS = ("pdf", "docx", "tif", "tiff", "txt", "msg")
+CLAUSE_NAME_WORDS = ("master", "amendment", "services")
+MASTER_WORDS = ("master agreement", "master-agreement", "master_agreement", "masteragreement", "msa", "master")
+NOT_MASTER_WORDS = (
+    "amendment", "addendum", "sow", "statement of work", "statement-of-work", "order form", "order-form",
+    "order_form", "schedule",
+)
+MSA_NAME_WORDS = (
+    "msa", "master agreement", "master-agreement", "master service", "master services", "master-services-agreement",
+)
+AMENDMENT_NAME_WORDS = ("amendment", "addendum", "amend")
+RENEWAL_WORDS = ("renewal amendment", "renewal and amendment", "renewal & amendment")
+SIGNATURE_WORDS = (
+    "in witness whereof", "intending to be legally bound", "the parties have executed", "signed by:",
+    "authorized signatory", "authorised signatory",
+)
+SIGNATURE_LINES = (
+    r"(?m)^\s*by\s*:", r"(?m)^\s*name\s*:", r"(?m)^\s*title\s*:", r"(?m)^\s*signature\s*:", r"(?m)^\s*date\s*:",
+)
+LICENSE_TITLES = ("license and service agreement", "software license agreement", "master license agreement")
+
+# ---- products and modules
+MODULE_PARENTS = ("services exhibit", "software exhibit")
+MODULE_LEVEL = "schedule"
+NOT_MODULES = (
+    "fees", "pricing", "general", "term", "terms", "hours of operation", "performance", "payment terms",
+    "additional terms", "additional terms and conditions", "deconversion", "deconversion fees", "rescheduling fees",
+    "termination fees", "termination", "delay of conversion", "conversion", "confidentiality", "defined terms",
+    "definitions", "description of services", "service description", "services description attachment", "materials",
+    "background", "recitals", "miscellaneous", "services", "software and license fees", "license fee payment schedule",
+    "location", "computer system", "maintenance fees", "maintenance term", "maintenance term: initial term",
+    "operations and support", "technical support", "client responsibilities",
+)
+
+# ---- load rows
+LEGAL_CLAUSES = (
+    r"late\s+payment\s+commitment", r"service\s+level\s+credits?", r"sla\s+credits?", "indemnif",
+    r"limitation\s+of\s+liability", r"liability\s+cap", r"aggregate\s+liability",
+)
+# the vendor's own promises; {vendor} is its name
+VENDOR_CLAUSES = (
+    r"{vendor}\s+will\s+bear", r"{vendor}\s+will\s+credit", r"{vendor}\s+agrees\s+to\s+reimburse",
+    r"{vendor}['’]?s\s+(?:responsibility|liability)",
+)
+PRICE_STATUSES = (
+    "included", "bundled", "bundled fee", "tbd", "prev paid", "previously paid", "waived", "waived fee", "n/a", "na",
+    "no charge", "nocharge", "free", "complimentary", "pass through", "pass-through",
+)
+PASS_THROUGH_WORDS = ("postage", "travel", "pass through", "pass-through", "third party", "third-party")
+MANUAL_CODES = ("CUPR0754", "CUPRREPORTFLAT")
+
+# ---- escalation
+ESCALATION_DATE = r"\b(\d{1,2}[_/]\d{1,2}[_/]\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4}|[A-Za-z]+\s+\d{1,2},\s*\d{4})\b"
+ESCALATION_PERCENT = r"(?i)(\d+(?:\.\d+)?\s*(?:%|percent|percentage|bps|basis points))"
+MONTH_NAMES = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
+    "December",
+)

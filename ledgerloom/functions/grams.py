@@ -1,4 +1,4 @@
-"""Character-gram column expressions."""
+"""Character-gram expressions."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def char_grams(text: Column, q: int) -> Column:
-    """All q-grams of `text` in order; empty when the text is shorter."""
-    n = F.length(text) - F.lit(q - 1)
-    starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(text, i, F.lit(q)))
+def char_grams(column: str, q: int) -> Column:
+    """All q-grams of a text column in order; empty when the text is shorter."""
+    return F.expr(
+        f"CASE WHEN length({column}) >= {q} "
+        f"THEN transform(sequence(1, length({column}) - {q - 1}), i -> substring({column}, i, {q})) "
+        "ELSE cast(array() AS array<string>) END"
+    )

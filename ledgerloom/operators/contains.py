@@ -14,52 +14,57 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.grams import char_grams
 
-LEVELS = (12, 6, 3, 2, 1)
+LEVELS = (12, 6, 3, 1)
+
+
+def _seeds(hay_grams: DataFrame, needles: DataFrame, on: list[str], levels) -> DataFrame:
+    """(on, _needle, _gram): each needle with the gram fewest haystacks hold."""
+    per_level = reduce(
+        lambda acc, q: F.when(F.length("_needle") >= q, char_grams("_needle", q)).otherwise(acc),
+        sorted(levels),
+        F.array().cast("array<string>"),
+    )
+    needle_grams = needles.withColumn("_gram", F.explode(F.array_distinct(per_level)))
+    counts = hay_grams.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        needle_grams.join(counts, on + ["_gram"])
+        .groupBy(*on, "_needle")
+        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    )
+
+
+def _grams(levels):
+    return F.explode(F.array_distinct(F.flatten(F.array(*[char_grams("_hay", q) for q in levels])))).alias("_gram")
+
+
+def contains_pairs(
+    hay: DataFrame, needles: DataFrame, hay_text: str, needle_text: str, on: list[str] | None = None, levels=LEVELS
+) -> DataFrame:
+    """Distinct (on, hay_text, needle_text) where the first contains the second; for short texts."""
+    on = list(on or [])
+    texts = hay.where(F.length(hay_text) > 0).select(*on, F.col(hay_text).alias("_hay")).distinct()
+    words = needles.where(F.length(needle_text) > 0).select(*on, F.col(needle_text).alias("_needle")).distinct()
+    grams = texts.select(*on, "_hay", _grams(levels))
+    return (
+        grams.join(_seeds(grams, words, on, levels), on + ["_gram"])
+        .where(F.contains("_hay", "_needle"))
+        .select(*on, F.col("_hay").alias(hay_text), F.col("_needle").alias(needle_text))
+    )
 
 
 def contains_join(
-    hay: DataFrame,
-    needles: DataFrame,
-    hay_text: str,
-    needle_text: str,
-    on: list[str] | None = None,
-    levels: tuple[int, ...] = LEVELS,
-    distinct: bool = True,
+    hay: DataFrame, needles: DataFrame, hay_text: str, needle_text: str, on: list[str] | None = None, levels=LEVELS
 ) -> DataFrame:
-    """Pairs (hay row, needle row) where `hay_text` contains `needle_text`.
+    """Pairs (hay row, needle row) where `hay_text` contains `needle_text`; for long texts.
 
-    `on` names equality columns both sides share (kept once, from the hay side).
-    Blank needles match nothing. Rows of both sides keep all their columns. With `distinct`
-    equal texts are indexed once; pass False when the texts are known to differ.
+    `on` names equality columns both sides share (kept once, from the hay side). Blank
+    needles match nothing. Rows of both sides keep all their columns.
     """
     on = list(on or [])
     # texts travel as a hash; equal hashes only add candidates, `contains` decides
     keyed = hay.where(F.length(hay_text) > 0).withColumn("_h", F.xxhash64(hay_text))
-    texts = keyed.select(*on, "_h", F.col(hay_text).alias("_hay")).dropDuplicates([*on, "_h"]) if distinct else (
-        keyed.select(*on, "_h", F.col(hay_text).alias("_hay"))
-    )
     words = needles.where(F.length(needle_text) > 0).select(*on, F.col(needle_text).alias("_needle")).distinct()
-
-    def pick(q, otherwise):
-        return F.when(F.length("_needle") >= q, char_grams(F.col("_needle"), q)).otherwise(otherwise)
-
-    # all grams of the needle at the largest level that fits
-    needle_grams = words.withColumn(
-        "_gram",
-        F.explode(F.array_distinct(reduce(lambda acc, q: pick(q, acc), sorted(levels), F.array().cast("array<string>")))),
-    )
-    hay_grams = texts.select(
-        *on, "_h",
-        F.explode(F.array_distinct(F.flatten(F.array(*[char_grams(F.col("_hay"), q) for q in levels])))).alias("_gram"),
-    )
-    counts = hay_grams.groupBy(*on, "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    seeds = (
-        needle_grams.join(counts, on + ["_gram"])
-        .groupBy(*on, "_needle")
-        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    )
-    candidates = hay_grams.join(seeds, on + ["_gram"]).select(*on, "_h", "_needle")
-    if not distinct:
-        candidates = candidates.distinct()
+    grams = keyed.withColumn("_hay", F.col(hay_text)).select(*on, "_h", _grams(levels))
+    candidates = grams.join(_seeds(grams, words, on, levels), on + ["_gram"]).select(*on, "_h", "_needle").distinct()
     pairs = keyed.join(candidates, on + ["_h"]).where(F.contains(F.col(hay_text), F.col("_needle"))).drop("_h")
     return pairs.join(needles.withColumn("_needle", F.col(needle_text)), on + ["_needle"]).drop("_needle")

@@ -14,7 +14,7 @@ from ledgerloom.functions.money import page_number
 from ledgerloom.functions.names import name_variants, norm_company, norm_strict
 from ledgerloom.functions.questions import code_tokens
 from ledgerloom.functions.text import nonblank, strip, text_or_blank
-from ledgerloom.operators.contains import contains_join
+from ledgerloom.operators.contains import contains_join, contains_pairs
 
 NEWEST = ("invoice_date", "document", "line_no", "material", "net")
 
@@ -55,16 +55,22 @@ def score_names(clients: DataFrame, stored: DataFrame, name: str, threshold: int
     )
     variants = (
         clients.select("client").distinct()
-        .withColumn("_variant", F.explode(name_variants(F.col("client"))))
-        .withColumn("_vstrict", norm_strict(F.col("_variant")))
-        .withColumn("_vlower", F.lower("_variant"))
+        .withColumn("_v", F.explode(name_variants(F.col("client"))))
+        .withColumn("_vstrict", norm_strict(F.col("_v")))
         .where(F.col("_vstrict") != "")
+        .select("client", "_vstrict").distinct()
     )
-    # raw substring implies strict substring, so the strict join finds every tier
-    hits = contains_join(names, variants, "_strict", "_vstrict")
+    # raw substring implies strict substring, so the strict pairs hold every tier
     tier = F.when(F.col("_vstrict") == F.col("_strict"), 100).otherwise(95)
-    scored = hits.groupBy("client", name).agg(F.max(tier).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    hits = contains_pairs(names, variants, "_strict", "_vstrict").withColumn("_score", tier)
+    return (
+        hits.where(F.col("_score") >= threshold)
+        .join(variants, "_vstrict")
+        .groupBy("client", "_strict")
+        .agg(F.max("_score").alias("score"))
+        .join(names, "_strict")
+        .select("client", name, "score")
+    )
 
 
 def bridge_names(clients: DataFrame, lines: DataFrame, threshold: int = 90) -> DataFrame:
@@ -84,26 +90,33 @@ def distinct_billto(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("billto_name").isNotNull()).select("billto", "billto_name").distinct()
 
 
-def resolve_scope(clients: DataFrame, lines: DataFrame, threshold: int = 90) -> DataFrame:
-    """(client, kind, value): sold-tos of matched bill-tos and of matching sold-to names, else bill-tos."""
-    parties = lines.select("billto", "billto_name", "soldto", "soldto_name").distinct()
-    billtos = score_names(clients, parties, "billto_name", threshold).join(
-        parties.select(strip(F.col("billto_name")).alias("billto_name"), "billto", "soldto").distinct(), "billto_name"
-    )
-    by_name = score_names(clients, parties, "soldto_name", threshold).join(
-        parties.select(strip(F.col("soldto_name")).alias("soldto_name"), "soldto").distinct(), "soldto_name"
-    )
+def party_pairs(lines: DataFrame) -> DataFrame:
+    return lines.select("billto", "billto_name", "soldto", "soldto_name").distinct()
+
+
+def resolve_scope(clients: DataFrame, parties: DataFrame, threshold: int = 90) -> DataFrame:
+    """(client, kind, value): sold-tos of matched bill-tos and of matching sold-to names, else bill-tos.
+
+    `parties` is one row per (billto, soldto) with their names: `party_pairs(lines)` or a party table.
+    """
+    named = parties.select(
+        "billto", strip(F.col("soldto")).alias("soldto"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("billto").alias("via"), strip(F.col("billto_name")).alias("name")),
+                F.struct(F.lit("soldto").alias("via"), strip(F.col("soldto_name")).alias("name")),
+            )
+        ).alias("n"),
+    ).select("billto", "soldto", "n.via", "n.name")
+    matched = score_names(clients, named, "name", threshold).join(named, "name")
     soldtos = (
-        billtos.select("client", strip(F.col("soldto")).alias("value"))
-        .unionByName(by_name.select("client", strip(F.col("soldto")).alias("value")))
-        .where(F.col("value") != "")
-        .distinct()
-        .withColumn("kind", F.lit("soldto"))
+        matched.where(F.col("soldto") != "")
+        .select("client", F.lit("soldto").alias("kind"), F.col("soldto").alias("value")).distinct()
     )
     fallback = (
-        billtos.select("client", F.col("billto").alias("value")).distinct()
+        matched.where(F.col("via") == "billto")
+        .select("client", F.lit("billto").alias("kind"), F.col("billto").alias("value")).distinct()
         .join(soldtos.select("client").distinct(), "client", "left_anti")
-        .withColumn("kind", F.lit("billto"))
     )
     return soldtos.unionByName(fallback)
 
@@ -119,11 +132,21 @@ def scope_labels(scope: DataFrame) -> DataFrame:
     return sizes.join(names, ["client", "kind"]).select("client", "kind", "n_values", label.alias("label"))
 
 
-def lines_in_scope(lines: DataFrame, scope: DataFrame) -> DataFrame:
-    """Lines tagged with the client whose scope they fall in (both scope kinds)."""
-    soldto = scope.where(F.col("kind") == "soldto").select("client", F.col("value").alias("soldto")).distinct()
-    billto = scope.where(F.col("kind") == "billto").select("client", F.col("value").alias("billto")).distinct()
-    return lines.join(soldto, "soldto").unionByName(lines.join(billto, "billto"))
+def lines_in_scope(lines: DataFrame, scope: DataFrame, parties: DataFrame) -> DataFrame:
+    """Lines tagged with every client whose scope they fall in.
+
+    The scope is turned into (billto, soldto) pairs first, so the lines are read and joined once.
+    """
+    pairs = parties.select("billto", "soldto").distinct()
+    by_kind = [
+        pairs.join(scope.where(F.col("kind") == k).select("client", F.col("value").alias(k)), k)
+        for k in ("soldto", "billto")
+    ]
+    tags = by_kind[0].unionByName(by_kind[1]).select(
+        "client", F.coalesce("billto", F.lit("")).alias("_b"), F.coalesce("soldto", F.lit("")).alias("_s")
+    ).distinct()
+    keyed = lines.withColumn("_b", F.coalesce("billto", F.lit(""))).withColumn("_s", F.coalesce("soldto", F.lit("")))
+    return keyed.join(tags, ["_b", "_s"]).drop("_b", "_s")
 
 
 # ------------------------------------------------------------------ line lookups
@@ -141,13 +164,11 @@ def invoice_by_document(lines: DataFrame, asked: DataFrame, n: int = 2000) -> Da
     return top_per(lines.join(wanted, "document"), ["question_id"], newest_first(), n)
 
 
-def invoice_by_material(lines: DataFrame, asked: DataFrame, scope: DataFrame | None = None, n: int = 2000) -> DataFrame:
-    """Full-history lines of the asked codes; with a scope, only the asking client's lines."""
+def invoice_by_material(lines: DataFrame, asked: DataFrame, by_client: bool = False, n: int = 2000) -> DataFrame:
+    """Full-history lines of the asked codes; `by_client` keeps the asking client's own (scoped) lines."""
     wanted = asked.withColumn("_code", F.upper(strip(F.col("code")))).drop("code").distinct()
     keyed = lines.withColumn("_code", F.upper(strip(F.col("material"))))
-    on = ["_code"]
-    if scope is not None:
-        keyed, on = lines_in_scope(keyed, scope), ["_code", "client"]
+    on = ["_code", "client"] if by_client else ["_code"]
     hits = keyed.join(wanted, on).withColumnRenamed("_code", "code")
     return top_per(hits, ["question_id"], newest_first(), n)
 
@@ -198,7 +219,7 @@ def cross_client_documents(asked: DataFrame, lines: DataFrame, focus: DataFrame)
     return found.join(focus.select("question_id", "billto").distinct(), ["question_id", "billto"], "left_anti")
 
 
-def billed_or_not(asked: DataFrame, lines: DataFrame, scope: DataFrame) -> DataFrame:
+def billed_or_not(asked: DataFrame, lines: DataFrame, scope: DataFrame, parties: DataFrame) -> DataFrame:
     """Per (question, client, code): billed; or, when no focused client was billed, who else was.
 
     `asked` is (question_id, client, code), codes upper case.
@@ -207,7 +228,7 @@ def billed_or_not(asked: DataFrame, lines: DataFrame, scope: DataFrame) -> DataF
     asked_codes = asked.select("code").distinct()
     asked_lines = keyed.join(asked_codes, "code", "left_semi")
     in_scope = (
-        lines_in_scope(asked_lines, scope).groupBy("client", "code").agg(F.count(F.lit(1)).alias("lines"))
+        lines_in_scope(asked_lines, scope, parties).groupBy("client", "code").agg(F.count(F.lit(1)).alias("lines"))
     )
     flagged = asked.join(in_scope, ["client", "code"], "left").withColumn("billed", F.col("lines").isNotNull())
     anywhere = flagged.groupBy("question_id", "code").agg(F.max("billed").alias("_in_focus"))

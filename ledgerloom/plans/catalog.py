@@ -1,5 +1,7 @@
 """Imports every catalog module so that its queries are registered."""
 
 from ledgerloom.plans import (  # noqa: F401
+    catalog_documents,
     catalog_invoices,
+    catalog_scalars,
 )

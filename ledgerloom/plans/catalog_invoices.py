@@ -47,11 +47,11 @@ history AS (
 
 
 def country_scope(t):
-    return inv.resolve_scope(t.countries, t.invoice_parties)
+    return inv.resolve_scope(t.countries, t.parties)
 
 
 def country_lines(t):
-    return inv.lines_in_scope(t.invoice_parties, country_scope(t))
+    return inv.lines_in_scope(t.invoice_parties, country_scope(t), t.parties)
 
 
 def own_scope(t):
@@ -154,14 +154,14 @@ SELECT client, 'soldto' AS kind, value FROM soldtos
 UNION ALL
 SELECT DISTINCT client, 'billto', billto FROM scored WHERE client NOT IN (SELECT client FROM soldtos)""")
 def resolve_scope(t):
-    return inv.resolve_scope(t.clients, t.invoice_parties)
+    return inv.resolve_scope(t.clients, inv.party_pairs(t.invoice_parties))
 
 
 @query("resolve_scope_countries", f"""
 WITH {COUNTRY_SCOPE}
 SELECT client, 'soldto' AS kind, soldto AS value FROM scope""")
 def resolve_scope_countries(t):
-    return country_scope(t)
+    return inv.resolve_scope(t.countries, inv.party_pairs(t.invoice_parties))
 
 
 @query("scope_labels", f"""
@@ -257,7 +257,7 @@ r AS (
 SELECT question_id, client, {LINE_SQL} FROM r WHERE rn <= 2000""")
 def invoice_by_material_scoped(t):
     asked = asked_codes(t).select("question_id", "code").join(question_countries(t), "question_id")
-    return inv.invoice_by_material(t.invoice_parties, asked, country_scope(t)).select("question_id", *LINE)
+    return inv.invoice_by_material(country_lines(t), asked, by_client=True).select("question_id", *LINE)
 
 
 def question_countries(t):
@@ -327,15 +327,15 @@ l AS (SELECT *, upper(trim(material)) AS code FROM invoice_parties),
 hits AS (SELECT client, code, count(*) AS lines FROM l JOIN scope USING (soldto) GROUP BY ALL),
 firsts AS (SELECT code, trim(billto_name) AS b, row_number() OVER (PARTITION BY code, trim(billto_name) ORDER BY {NEWEST_SQL}) AS rn,
                   row_number() OVER (PARTITION BY code ORDER BY {NEWEST_SQL}) AS pos FROM l),
-named AS (SELECT code, b, pos, row_number() OVER (PARTITION BY code ORDER BY pos) AS k FROM firsts WHERE rn = 1),
-others AS (SELECT code, string_agg(b, ', ' ORDER BY pos) AS others FROM named WHERE k <= 3 GROUP BY code)
+ranked_b AS (SELECT code, b, pos, row_number() OVER (PARTITION BY code ORDER BY pos) AS k FROM firsts WHERE rn = 1),
+others AS (SELECT code, string_agg(b, ', ' ORDER BY pos) AS others FROM ranked_b WHERE k <= 3 GROUP BY code)
 SELECT question_id, client, code, coalesce(lines, 0) AS lines,
        CASE WHEN lines IS NOT NULL THEN 'billed' WHEN others IS NOT NULL THEN 'other customers' ELSE 'nowhere' END AS status,
        CASE WHEN lines IS NULL THEN coalesce(others, '') ELSE '' END AS others
 FROM asked JOIN who USING (question_id) LEFT JOIN hits USING (client, code) LEFT JOIN others USING (code)""")
 def billed_or_not(t):
     asked = asked_codes(t).select("question_id", "code").join(question_countries(t), "question_id")
-    return inv.billed_or_not(asked, t.invoice_parties, country_scope(t))
+    return inv.billed_or_not(asked, t.invoice_parties, country_scope(t), t.parties)
 
 
 @query("url_registry", """
@@ -395,7 +395,7 @@ def invoice_detail_headers(t):
 @query("invoice_detail_lines", f"""
 WITH {DETAIL}, d AS (
   SELECT l.*, row_number() OVER (PARTITION BY client, document ORDER BY {NEWEST_SQL}) AS rn
-  FROM l JOIN ranked USING (client, document) WHERE position <= 20)
+  FROM l SEMI JOIN (SELECT * FROM ranked WHERE position <= 20) USING (client, document))
 SELECT client, {LINE_SQL} FROM d WHERE rn <= 15""")
 def invoice_detail_lines(t):
     return inv.invoice_detail(country_lines(t))[1].select(*LINE)

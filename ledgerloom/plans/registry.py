@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.plans.views import VIEWS, Tables, sources_of
+from ledgerloom.plans.views import VIEWS, Tables, sources_of, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,7 @@ def query(name: str, oracle: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: flat(fn(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: flat(fn(tables(spark, sf_dir)))
         if oracle is not None:
             ORACLES[name] = with_views(oracle)
         return fn

@@ -1,7 +1,8 @@
 """Views that give the test tables the shapes of contract and billing data.
 
 Each view is one SELECT that Spark and DuckDB both run, so an oracle starts from the
-same rows. `@arr(` stands for the array constructor, the only spelling that differs.
+same rows. `@arr(` stands for the array constructor; where splitting text into rows is
+spelled differently, a view has a second text for Spark.
 Values are varied with `%`; no view drops rows of its base table.
 """
 
@@ -22,6 +23,7 @@ RAW = (
 @dataclass(frozen=True)
 class View:
     sql: str
+    spark_sql: str | None = None
 
     @property
     def duck(self) -> str:
@@ -29,7 +31,7 @@ class View:
 
     @property
     def spark(self) -> str:
-        return self.sql.replace("@arr(", "array(")
+        return (self.spark_sql or self.sql).replace("@arr(", "array(")
 
 
 VIEWS: dict[str, View] = {}
@@ -73,6 +75,17 @@ class Tables:
         return alias
 
 
+_OPEN: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, folder: str) -> Tables:
+    """Tables of a folder; its views are set up once per application."""
+    key = (spark.sparkContext.applicationId, folder.rstrip("/"))
+    if key not in _OPEN or _OPEN[key].spark is not spark:
+        _OPEN[key] = Tables(spark, folder)
+    return _OPEN[key]
+
+
 def sources_of(sql: str) -> list[str]:
     """Views a statement reads, dependencies first."""
     out: list[str] = []
@@ -131,6 +144,18 @@ JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey
 """)
 
+# the party table behind the lines: one row per bill-to
+VIEWS["parties"] = View("""
+SELECT cast(c_custkey AS string) AS billto,
+       CASE c_custkey % 4
+            WHEN 0 THEN concat(c_name, ' Federal Credit Union')
+            WHEN 1 THEN concat(c_name, ' FCU')
+            WHEN 2 THEN concat('The ', c_name, ' CU Branch')
+            ELSE c_name END AS billto_name,
+       cast(c_nationkey AS string) AS soldto, n_name AS soldto_name
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
+
 VIEWS["invoice_lines"] = View("""
 SELECT p.*, s_name AS profit_center
 FROM invoice_parties p
@@ -214,3 +239,98 @@ SELECT cast(o_orderkey AS string) AS question_id, o_custkey, o_orderkey,
             ELSE concat('since inception: SAP lines of brd', lpad(cast(1 + o_orderkey % 25 AS string), 2, '0'), lpad(cast(1 + o_orderkey % 50 AS string), 2, '0'), ' from 2001/5/', 1 + o_orderkey % 28) END AS text
 FROM orders JOIN customer ON o_custkey = c_custkey
 """)
+
+# ----------------------------------------------------------------- fee items
+
+VIEWS["fee_items"] = View(f"""
+SELECT c.client, c.filename AS source_contract,
+       concat(l_orderkey, '-', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+              l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS item_id,
+       concat(p_name, CASE l_partkey % 7 WHEN 0 THEN ' Monthly Fee' WHEN 1 THEN ' Setup Fee'
+                           WHEN 2 THEN ' (1,000 to 2,500 accounts)' WHEN 3 THEN ' up to 500 accounts'
+                           WHEN 4 THEN ' per transaction charge' WHEN 5 THEN concat(' ', p_type, ' - 5,001 - 7,500')
+                           ELSE concat('  ', p_type, ' postage') END) AS item,
+       CASE (l_partkey + l_linenumber) % 13
+            WHEN 0 THEN concat('$', cast(cast(l_extendedprice AS decimal(18,2)) AS string))
+            WHEN 1 THEN concat('($', cast(cast(l_extendedprice AS decimal(18,2)) AS string), ')')
+            WHEN 2 THEN '12M' WHEN 3 THEN 'Over $100M' WHEN 4 THEN 'Included' WHEN 5 THEN 'Waived'
+            WHEN 6 THEN 'N/A' WHEN 7 THEN '$0.00' WHEN 8 THEN '5%' WHEN 9 THEN ' TBD '
+            WHEN 10 THEN NULL WHEN 11 THEN concat(' USD ', cast(cast(l_extendedprice AS decimal(18,2)) AS string))
+            ELSE '1,234,567.891 per year' END AS price,
+       CASE WHEN l_quantity > 25 THEN cast(cast(l_quantity AS int) AS string) ELSE '' END AS quantity,
+       CASE l_partkey % 8 WHEN 0 THEN 'Per Month' WHEN 1 THEN 'One Time' WHEN 2 THEN 'Annual' WHEN 3 THEN ''
+                          WHEN 4 THEN NULL WHEN 5 THEN 'per transaction / monthly' WHEN 6 THEN 'each' ELSE 'upfront' END AS frequency,
+       CASE l_linenumber % 3 WHEN 1 THEN true WHEN 2 THEN false END AS checkbox,
+       CASE p_size % 3 WHEN 0 THEN concat(p_type, ' Services') WHEN 1 THEN upper(p_type) ELSE p_type END AS section_header,
+       l_linenumber AS page,
+       CASE p_size % 5 WHEN 0 THEN concat('subject to a minimum fee of $1,', 100 + p_size, '.50 each month')
+                       WHEN 1 THEN 'Late payment commitment applies' WHEN 2 THEN NULL ELSE 'none' END AS pricing_condition,
+       CASE WHEN l_tax > 0.05 THEN 'Vendorco will credit the client' ELSE '' END AS explanation,
+       {_MATERIAL} AS material, cast(l_extendedprice AS decimal(18,2)) AS amount, c.signed_date,
+       p_name, p_type, l_partkey, l_returnflag
+FROM lineitem
+JOIN contracts c ON l_orderkey = c.o_orderkey
+JOIN part ON l_partkey = p_partkey
+""")
+
+VIEWS["dictionary"] = View(f"""
+SELECT p_partkey AS position, {_MATERIAL} AS code, concat(p_name, ' ', p_type) AS description, p_type AS section,
+       CASE p_size % 3 WHEN 0 THEN 'ZINL' WHEN 1 THEN 'ZINM' ELSE '' END AS item_category,
+       CASE WHEN p_size % 2 = 0 THEN 'ZPRM' ELSE '' END AS condition_type,
+       CASE WHEN p_size % 4 = 0 THEN 'No' ELSE 'Yes' END AS cpi_eligible
+FROM part
+""")
+
+# every contract file and a renamed copy of it
+VIEWS["files"] = View("""
+SELECT client, filename, size, pages,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'This Renewal Amendment is made' ELSE 'This document' END AS head_text
+FROM contracts JOIN orders USING (o_orderkey)
+UNION ALL
+SELECT client, CASE WHEN o_orderkey % 3 = 0 THEN concat('Copy ', filename) ELSE replace(filename, '.pdf', '_copy.pdf') END,
+       size + 1, pages + 1, 'This document'
+FROM contracts JOIN orders USING (o_orderkey)
+""")
+
+VIEWS["overview"] = View("""
+SELECT client, filename, contract_type,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'MasterAgreement' ELSE 'Other' END AS document_type,
+       CASE WHEN o_orderkey % 5 = 0 THEN concat('Software License Agreement ', o_orderkey) WHEN o_orderkey % 5 = 1 THEN NULL
+            ELSE 'Master Services with license agreement' END AS agreement_type,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE effective_date END AS effective_date,
+       cast(o_orderkey % 3 AS int) AS schedules, o_orderkey
+FROM contracts
+""")
+
+VIEWS["hierarchy_source"] = View("""
+SELECT client, filename, contract_type, effective_date, signed_date,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'other.pdf' ELSE '' END AS duplicate_of
+FROM contracts
+""")
+
+VIEWS["module_rows"] = View("""
+SELECT client, source_contract AS filename,
+       CASE l_partkey % 4 WHEN 0 THEN 'Services Exhibit' WHEN 1 THEN ' software exhibit ' WHEN 2 THEN 'Services Exhibit' ELSE 'Appendix' END AS parent,
+       CASE l_partkey % 5 WHEN 0 THEN 'Exhibit' ELSE 'Schedule' END AS level,
+       CASE l_partkey % 6 WHEN 0 THEN '' ELSE concat(p_type, ' Schedule to ',
+            CASE l_partkey % 4 WHEN 1 THEN ' software exhibit ' WHEN 3 THEN 'Appendix' ELSE 'Services Exhibit' END) END AS product,
+       CASE page WHEN 1 THEN 'Pricing' WHEN 2 THEN concat(p_type, ' schedule to services exhibit') WHEN 3 THEN 'nan' ELSE p_name END AS module
+FROM fee_items
+""")
+
+VIEWS["manifest"] = View("""
+SELECT DISTINCT client, source_contract AS filename,
+       CASE WHEN l_partkey % 3 = 0 THEN ' software exhibit ' ELSE 'Services Exhibit' END AS parent, p_type AS schedule_title
+FROM fee_items
+""")
+
+# ---------------------------------------------------------------------- pages
+
+VIEWS["pages_text"] = View("""
+SELECT source AS client, concat(doc_id, '.pdf') AS filename, doc_id,
+       cast(unnest(range(1, len(lines) + 1)) AS int) AS page, unnest(lines) AS text
+FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents) d
+""", """
+SELECT source AS client, concat(doc_id, '.pdf') AS filename, doc_id, page0 + 1 AS page, line AS text
+FROM documents LATERAL VIEW posexplode(split(text, '\\n')) x AS page0, line
+""")
