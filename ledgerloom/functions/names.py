@@ -57,7 +57,7 @@ def norm_party(party: Column, suffixes=fixed.PARTY_SUFFIXES) -> Column:
 
 def party_set(parties: Column) -> Column:
     """Sorted distinct normal forms of a party list, blanks dropped."""
-    forms = F.transform(F.coalesce(parties, F.array().cast("array<string>")), norm_party)
+    forms = F.transform(F.coalesce(parties, F.array().cast("array<string>")), lambda p: norm_party(p))
     return F.array_sort(F.array_distinct(F.filter(forms, lambda p: p != "")))
 
 
@@ -76,12 +76,12 @@ def entity_tokens(
     if filename is not None:
         head = F.split(F.coalesce(filename, F.lit("")), "_")[0]
         names = F.concat(names, F.array(F.regexp_replace(head, r"\.[^.]*$", "")))
-    forms = F.transform(names, norm_party)
+    forms = F.transform(names, lambda p: norm_party(p))
     if vendor:
         firsts = sorted({v.split()[0] for v in vendor})
         forms = F.filter(forms, lambda p: ~F.split(p, " ")[0].isin(firsts))
     drop = F.array(*[F.lit(w) for w in (*generic, *vendor)])
-    words = F.flatten(F.transform(forms, word_list))
+    words = F.flatten(F.transform(forms, lambda p: word_list(p)))
     return F.array_sort(F.array_except(words, drop))
 
 

@@ -136,11 +136,11 @@ scored AS (SELECT client, filename, page, CASE WHEN contains(lower(t), 'in witne
 
 @query("signature_pages", f"""
 WITH {SIGNED},
-r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY page) AS at,
+r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY page) AS ix,
       row_number() OVER (w ORDER BY score < 5, score DESC, page) AS sig, max(score) OVER w >= 5 AS anysig
       FROM scored WINDOW w AS (PARTITION BY client, filename))
 SELECT client, filename, page, score FROM r
-WHERE n <= 8 OR at <= 4 OR CASE WHEN anysig THEN score >= 5 AND sig <= 4 ELSE at > n - 4 END""")
+WHERE n <= 8 OR ix <= 4 OR CASE WHEN anysig THEN score >= 5 AND sig <= 4 ELSE ix > n - 4 END""")
 def signature_pages(t):
     marked = F.concat(
         F.when(F.contains(F.lower("text"), F.lit("license")), F.lit("IN WITNESS WHEREOF")).otherwise(""), F.col("text")
@@ -154,11 +154,11 @@ TITLES = ("ednd", "hath", "inat")
 @query("schedule_pages", """
 WITH tp AS (SELECT client, filename, page, lower(replace(replace(text, 'the ', 'schedule '), 'and of', 'a schedule to ')) AS low FROM pages_text),
 titles AS (SELECT unnest(['ednd', 'hath', 'inat']) AS title),
-j AS (SELECT tp.*, title, row_number() OVER (PARTITION BY client, filename, title ORDER BY page) AS at FROM tp CROSS JOIN titles),
-st AS (SELECT client, filename, title, coalesce(min(at) FILTER (contains(low, title) AND contains(low, 'schedule')), min(at) FILTER (contains(low, title))) AS s FROM j GROUP BY ALL),
-i AS (SELECT j.*, s FROM j JOIN st USING (client, filename, title) WHERE at >= s AND at < s + 12),
-e AS (SELECT client, filename, title, min(at) AS e FROM i WHERE at > s AND contains(low, ' schedule to ') AND NOT contains(left(low, 500), title) GROUP BY ALL)
-SELECT i.client, i.filename, i.title, i.page FROM i LEFT JOIN e USING (client, filename, title) WHERE e IS NULL OR at < e""")
+j AS (SELECT tp.*, title, row_number() OVER (PARTITION BY client, filename, title ORDER BY page) AS ix FROM tp CROSS JOIN titles),
+st AS (SELECT client, filename, title, coalesce(min(ix) FILTER (contains(low, title) AND contains(low, 'schedule')), min(ix) FILTER (contains(low, title))) AS s FROM j GROUP BY ALL),
+i AS (SELECT j.*, s FROM j JOIN st USING (client, filename, title) WHERE ix >= s AND ix < s + 12),
+e AS (SELECT client, filename, title, min(ix) AS e FROM i WHERE ix > s AND contains(low, ' schedule to ') AND NOT contains(left(low, 500), title) GROUP BY ALL)
+SELECT i.client, i.filename, i.title, i.page FROM i LEFT JOIN e USING (client, filename, title) WHERE e IS NULL OR ix < e""")
 def schedule_pages(t):
     text = F.regexp_replace(F.regexp_replace("text", "the ", "schedule "), "and of", "a schedule to ")
     pages = t.pages_text.withColumn("text", text)
@@ -182,9 +182,9 @@ def split_legal_items(t):
 
 
 @query("group_dictionary", """
-WITH x AS (SELECT code, description, min(position) AS at FROM dictionary GROUP BY ALL),
+WITH x AS (SELECT code, description, min(position) AS ix FROM dictionary GROUP BY ALL),
 f AS (SELECT code, arg_min({'a': item_category, 'b': condition_type, 'c': cpi_eligible}, position) AS f FROM dictionary GROUP BY code)
-SELECT code, string_agg(description, '; ' ORDER BY at) AS descriptions, f.a AS item_category, f.b AS condition_type, f.c AS cpi_eligible
+SELECT code, string_agg(description, '; ' ORDER BY ix) AS descriptions, f.a AS item_category, f.b AS condition_type, f.c AS cpi_eligible
 FROM x JOIN f USING (code) GROUP BY ALL""")
 def group_dictionary(t):
     return loadrows.group_dictionary(t.dictionary)

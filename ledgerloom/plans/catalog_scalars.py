@@ -13,8 +13,11 @@ from ledgerloom.plans.registry import query
 
 S = "trim(coalesce(price, ''))"
 KEY = ("item_id",)
-MONEY_TEXT = rf"""(CASE WHEN trim(replace({S}, '$', '')) LIKE '(%' THEN '-$' ELSE '$' END
-  || format('{{{{:,.2f}}}}', cast(regexp_extract(regexp_replace({S}, '[$,()]', '', 'g'), '\d+\.?\d*') AS double)))""".replace("{{{{", "{").replace("}}}}", "}")
+MONEY_TEXT = (
+    f"(CASE WHEN trim(replace({S}, '$', '')) LIKE '(%' THEN '-$' ELSE '$' END || "
+    + "format('{:,.2f}', "
+    + rf"cast(regexp_extract(regexp_replace({S}, '[$,()]', '', 'g'), '\d+\.?\d*') AS double)))"
+)
 HAS_NUMBER = rf"regexp_extract(regexp_replace({S}, '[$,()]', '', 'g'), '\d+\.?\d*') <> ''"
 THRESHOLD = rf"(regexp_matches({S}, {d.lit(fixed.OVER_THRESHOLD)}) OR regexp_matches({S}, {d.lit(fixed.MAGNITUDE)}))"
 ZERO = rf"""(CASE WHEN price IS NULL THEN false WHEN lower({S}) IN {d.in_list(fixed.ZERO_LABELS)} THEN true

@@ -188,7 +188,7 @@ SELECT o_orderkey, o_custkey, c_name AS client,
             ELSE 'Purchase Order' END AS contract_type,
        cast(o_orderdate AS date) AS effective_date,
        cast(o_orderdate AS date) + cast(o_orderkey % 5 AS int) AS signed_date,
-       cast(o_totalprice * 10 AS bigint) AS size,
+       cast(floor(o_totalprice * 10) AS bigint) AS size,
        cast(5 + o_orderkey % 40 AS int) AS pages
 FROM orders JOIN customer ON o_custkey = c_custkey
 """)
