@@ -215,3 +215,148 @@ MONTH_NAMES = (
     "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
     "December",
 )
+
+# ---- contract types: spelling -> canonical type
+TYPE_NAMES = (
+    ("MSA", ("msa", "master agreement", "master service agreement", "master services agreement",
+             "relationship agreement", "network membership agreement", "accel network membership agreement",
+             "membership agreement", "amended and restated", "amended and restated agreement")),
+    ("Amendment", ("amendment", "addendum", "first amendment", "second amendment", "third amendment",
+                   "fourth amendment", "fifth amendment", "sixth amendment", "seventh amendment", "eighth amendment",
+                   "ninth amendment", "tenth amendment", "amendment and restatement", "rider", "consent", "waiver",
+                   "extension", "renewal", "change order")),
+    ("Sub-Amendment", ("sub-amendment", "sub amendment")),
+    ("SOW", ("sow", "statement of work", "consulting services exhibit")),
+    ("Order Form", ("order form",)),
+    ("Work Order", ("work order",)),
+    ("Purchase Order", ("purchase order", "po")),
+    ("Subsequent Order", ("subsequent order",)),
+    ("Services Agreement", ("services agreement",)),
+    ("Software Agreement", ("software agreement",)),
+    ("Hardware Agreement", ("hardware agreement",)),
+    ("Maintenance Agreement", ("maintenance agreement",)),
+    ("Marketing Agreement", ("marketing agreement",)),
+    ("Referral Agreement", ("referral agreement",)),
+    ("Purchase Agreement", ("purchase agreement",)),
+    ("Network Agreement", ("network agreement", "network agreements")),
+    ("Internet Banking Agreement", ("internet banking agreement",)),
+    ("Access Agreement", ("access agreement",)),
+    ("Escrow Agreement", ("escrow agreement",)),
+    ("Subscription Agreement", ("subscription agreement",)),
+    ("Termination Notice", ("termination notice",)),
+    ("Termination Agreement", ("termination agreement", "deconversion and termination agreement",
+                               "deconversion agreement")),
+    ("Schedule", ("schedule", "exhibit")),
+    ("Appendix", ("appendix",)),
+    ("Attachment", ("attachment",)),
+    ("Miscellaneous", ("standalone", "stand-alone", "miscellaneous", "letter agreement", "side letter")),
+    ("License Agreement", ("license agreement", "software license agreement")),
+)
+# filename wording -> type, first hit wins
+FILENAME_TYPES = (
+    (r"\bsub[-\s]?amendment\b", "Sub-Amendment"),
+    (r"\bmaster\s+services?\s+agreement\b", "MSA"),
+    (r"\bmaster\s+agreement\b", "MSA"),
+    (r"\brelationship\s+agreement\b", "MSA"),
+    (r"\bnetwork\s+membership\s+agreement\b", "MSA"),
+    (r"\bmembership\s+agreement\b", "MSA"),
+    (r"\bamended\s+and\s+restated\b", "MSA"),
+    (r"\btermination\s+notice\b", "Termination Notice"),
+    (r"\b(?:deconversion\s+and\s+)?termination\s+agreement\b", "Termination Agreement"),
+    (r"\bdeconversion\s+agreement\b", "Termination Agreement"),
+    (r"\bamendment\b", "Amendment"),
+    (r"\baddendum\b", "Amendment"),
+    (r"\brider\b", "Amendment"),
+    (r"\bwaiver\b", "Amendment"),
+    (r"\bconsent\b", "Amendment"),
+    (r"\bextension\b", "Amendment"),
+    (r"\brenewal\b", "Amendment"),
+    (r"\bchange\s+order\b", "Amendment"),
+    (r"\bpurchase\s+order\b", "Purchase Order"),
+    (r"\bsubsequent\s+order\b", "Subsequent Order"),
+    (r"\bstatement\s+of\s+work\b", "SOW"),
+    (r"\border\s+form\b", "Order Form"),
+    (r"\bwork\s+order\b", "Work Order"),
+    (r"\bconsulting\s+services\s+exhibit\b", "SOW"),
+    (r"\bservices\s+agreement\b", "Services Agreement"),
+    (r"\bsoftware\s+agreement\b", "Software Agreement"),
+    (r"\bsoftware\s+license\s+agreement\b", "License Agreement"),
+    (r"\blicense\s+agreement\b", "License Agreement"),
+    (r"\bnetwork\s+agreements?\b", "Network Agreement"),
+    (r"\bhardware\s+agreement\b", "Hardware Agreement"),
+    (r"\bmaintenance\s+agreement\b", "Maintenance Agreement"),
+    (r"\bmarketing\s+agreement\b", "Marketing Agreement"),
+    (r"\breferral\s+agreement\b", "Referral Agreement"),
+    (r"\bpurchase\s+agreement\b", "Purchase Agreement"),
+    (r"\binternet\s+banking\s+agreement\b", "Internet Banking Agreement"),
+    (r"\baccess\s+agreement\b", "Access Agreement"),
+    (r"\bescrow\s+agreement\b", "Escrow Agreement"),
+    (r"\bsubscription\s+agreement\b", "Subscription Agreement"),
+    (r"\bappendix\b", "Appendix"),
+    (r"\battachment\b", "Attachment"),
+    (r"\bexhibit\b", "Schedule"),
+    (r"\bschedule\b", "Schedule"),
+    (r"\bletter\s+agreement\b", "Miscellaneous"),
+    (r"\bside\s+letter\b", "Miscellaneous"),
+)
+GENERIC_TYPES = ("Standalone", "Miscellaneous", "Unknown")
+SPECIFIC_ROOT_TYPES = (
+    "Services Agreement", "Software Agreement", "License Agreement", "Hardware Agreement", "Maintenance Agreement",
+    "Marketing Agreement", "Referral Agreement", "Purchase Agreement", "Network Agreement", "Membership Agreement",
+    "MSA", "Internet Banking Agreement", "Access Agreement", "Escrow Agreement", "Subscription Agreement",
+)
+ROOT_TYPES = (*SPECIFIC_ROOT_TYPES, "Miscellaneous")
+CHILD_TYPES = (
+    "Amendment", "Sub-Amendment", "Appendix", "Attachment", "SOW", "Schedule", "Purchase Order", "Order Form",
+    "Work Order", "Subsequent Order", "Termination Notice", "Termination Agreement",
+)
+# preference among candidate parents; anything else 99
+PARENT_RANKS = (
+    (0, SPECIFIC_ROOT_TYPES),
+    (1, ("Amendment", "Termination Notice", "Termination Agreement")),
+    (2, ("Sub-Amendment",)),
+    (3, ("SOW",)),
+    (4, ("Schedule", "Appendix", "Attachment")),
+    (5, ("Miscellaneous",)),
+    (6, ("Purchase Order", "Order Form", "Work Order", "Subsequent Order")),
+)
+# rank in the type hierarchy, used by the nearest-date rule; anything else 99
+TYPE_RANKS = (
+    (0, ("MSA",)),
+    (1, ("Amendment", "Termination Notice", "Termination Agreement")),
+    (2, ("Sub-Amendment",)),
+    (3, ("SOW", "Schedule", "Appendix", "Attachment", "Miscellaneous", "Purchase Order", "Order Form", "Work Order",
+         "Subsequent Order", "Services Agreement", "Software Agreement", "License Agreement", "Network Agreement",
+         "Hardware Agreement", "Maintenance Agreement", "Marketing Agreement", "Referral Agreement",
+         "Purchase Agreement", "Internet Banking Agreement", "Access Agreement", "Escrow Agreement",
+         "Subscription Agreement")),
+)
+# filename types that make a disagreeing extraction worth repeating
+RESCUE_TYPES = (
+    "MSA", "Services Agreement", "Software Agreement", "License Agreement", "Hardware Agreement",
+    "Maintenance Agreement", "Marketing Agreement", "Referral Agreement", "Purchase Agreement", "Network Agreement",
+    "Membership Agreement",
+)
+GENERIC_PARENT_PHRASES = (
+    (r"\bmaster\s+services?\s+agreement\b", ("MSA",)),
+    (r"\bmaster\s+agreement\b", ("MSA",)),
+    (r"\b(?:the\s+)?msa\b", ("MSA",)),
+    (r"\blicense\s+and\s+services?\s+agreement\b", ("License Agreement", "Services Agreement")),
+    (r"\blicense\s+agreement\b", ("License Agreement",)),
+    (r"\bdata\s+processing\s+services?\s+agreement\b", ("Services Agreement",)),
+    (r"\bsoftware\s+agreement\b", ("Software Agreement",)),
+    (r"\bhardware\s+agreement\b", ("Hardware Agreement",)),
+)
+AGREEMENT_NUMBER = (
+    r"(?i)\b(?:agreement|contract|dpsa|sow|po)\s*(?:no\.?|number|num|#)\s*[:.]?\s*(\d{3,})\b|#\s*(\d{3,})\b"
+)
+# method -> base confidence
+METHOD_SCORES = (
+    ("root", 95), ("miscellaneous", 95), ("reference", 90), ("duplicate", 90), ("doc_code", 60), ("products", 45),
+    ("chain_root", 40), ("single_msa_fallback", 35), ("date", 30), ("orphan", 0),
+)
+EXTRACTION_SCORES = (("high", 85), ("medium-high", 72), ("medium", 55), ("low", 25))
+HIGH_SCORE, MEDIUM_SCORE = 70, 40
+PRODUCT_SUFFIXES = (
+    "services", "service", "schedule", "schedules", "exhibit", "exhibits", "module", "modules", "addendum", "addenda",
+)

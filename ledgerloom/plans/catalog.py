@@ -2,6 +2,7 @@
 
 from ledgerloom.plans import (  # noqa: F401
     catalog_documents,
+    catalog_hierarchy,
     catalog_invoices,
     catalog_scalars,
 )

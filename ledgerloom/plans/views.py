@@ -334,3 +334,74 @@ FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents
 SELECT source AS client, concat(doc_id, '.pdf') AS filename, doc_id, page0 + 1 AS page, line AS text
 FROM documents LATERAL VIEW posexplode(split(text, '\\n')) x AS page0, line
 """)
+
+# ------------------------------------------------------------------- hierarchy
+
+# dates fall on two days a year, so ties and copies occur
+VIEWS["contract_days"] = View("""
+SELECT o_orderkey, o_custkey, client, contract_type,
+       make_date(cast(year(effective_date) AS int), CASE o_orderkey % 2 WHEN 0 THEN 1 ELSE 7 END, 15) AS eff
+FROM contract_base
+""")
+
+VIEWS["contract_meta"] = View("""
+SELECT client, concat(client, '/', filename) AS key, filename, raw_type AS contract_type,
+       CASE o_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN eff + 200 ELSE eff END AS effective_date,
+       CASE o_orderkey % 6 WHEN 0 THEN NULL ELSE eff + cast(o_orderkey % 5 AS int) END AS signed_date,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL
+            WHEN o_orderkey % 10 = 3 THEN @arr('Vendorco Solutions, Inc.', 'Atlas Bank, Inc.')
+            ELSE @arr('Vendorco Solutions, LLC', concat(client, CASE o_orderkey % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' Savings Bank' ELSE ' West' END)) END AS parties,
+       CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS extraction_confidence,
+       CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE cast(40 + o_orderkey % 60 AS int) END AS extraction_score,
+       CASE o_orderkey % 6 WHEN 1 THEN false WHEN 2 THEN true END AS is_active,
+       o_orderkey, o_custkey
+FROM (SELECT *,
+             CASE o_orderkey % 11 WHEN 0 THEN 'Unknown' WHEN 1 THEN ' Standalone' WHEN 2 THEN 'Mystery Paper' ELSE contract_type END AS raw_type,
+             concat(CASE WHEN o_orderkey % 10 = 3 THEN 'Atlas Bank' ELSE replace(client, '#', '-') END, '_', contract_type, '_',
+                    month(eff), '-', day(eff), '-', year(eff), '_', o_orderkey, '.pdf') AS filename
+      FROM contract_days) d
+""")
+
+VIEWS["cited_masters"] = View("""
+SELECT o_orderkey, o_custkey, eff,
+       max(CASE WHEN contract_type = 'Master Agreement' THEN eff END)
+           OVER (PARTITION BY o_custkey ORDER BY eff, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+           + cast(o_orderkey % 10 AS int) AS cited
+FROM contract_days
+""")
+
+VIEWS["citations"] = View("""
+SELECT m.client, m.key, 0 AS position, 'parent_reference' AS source,
+       CASE WHEN c.cited IS NULL THEN 'as amended by the Master Agreement'
+            WHEN m.o_orderkey % 7 = 0 THEN 'under the Software Agreement between the parties'
+            WHEN m.o_orderkey % 4 = 0 THEN concat('pursuant to Agreement #', 1000 + m.o_custkey * 3 + m.o_orderkey % 3)
+            WHEN m.o_orderkey % 4 = 1 THEN concat('Master Agreement dated ', substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(3 * month(c.cited) - 2 AS int), 3), ' ', day(c.cited), ', ', year(c.cited))
+            WHEN m.o_orderkey % 4 = 2 THEN concat('the agreement of ', month(c.cited), '/', day(c.cited), '/', year(c.cited), ' and its schedules')
+            ELSE concat('signed ', cast(c.cited AS string)) END AS quote
+FROM contract_meta m JOIN cited_masters c ON m.o_orderkey = c.o_orderkey
+UNION ALL
+SELECT m.client, m.key, 1, 'parent_reference', concat('AMENDMENT dated as of ', month(c.eff), '/', day(c.eff), '/', year(c.eff))
+FROM contract_meta m JOIN cited_masters c ON m.o_orderkey = c.o_orderkey
+UNION ALL
+SELECT m.client, m.key, 2, 'supersedes_clause', CASE WHEN m.o_orderkey % 5 = 0 AND c.cited IS NOT NULL THEN concat('supersedes the paper of ', cast(c.cited AS string)) ELSE '' END
+FROM contract_meta m JOIN cited_masters c ON m.o_orderkey = c.o_orderkey
+""")
+
+VIEWS["doc_codes"] = View("""
+SELECT client, key, concat('Contract ', 1000 + o_custkey * 3 + o_orderkey % 3) AS value,
+       CASE o_orderkey % 8 WHEN 0 THEN 'handwritten_margin' WHEN 1 THEN 'handwritten_inline' WHEN 2 THEN 'printed_stamp' WHEN 3 THEN 'printed_label_box'
+            WHEN 4 THEN 'printed_body' WHEN 5 THEN 'printed_header' WHEN 6 THEN 'printed_footer' ELSE 'scribble' END AS position
+FROM contract_meta
+UNION ALL
+SELECT client, key, 'Customer Number 635', 'printed_body' FROM contract_meta
+UNION ALL
+SELECT client, key, CASE o_orderkey % 4 WHEN 0 THEN 'REV 5-13-04' WHEN 1 THEN 'MKT301/022009' WHEN 2 THEN 'ID: 4b90ac5c-2799-4de2-a850-2391537c78c1' ELSE '0000000' END,
+       CASE o_orderkey % 3 WHEN 0 THEN 'printed_body' ELSE 'printed_footer' END FROM contract_meta
+UNION ALL
+SELECT client, key, '290', CASE WHEN o_orderkey % 9 = 0 THEN 'handwritten_margin' ELSE 'printed_header' END FROM contract_meta
+""")
+
+VIEWS["contract_products"] = View("""
+SELECT DISTINCT m.client, m.key, p_name AS product
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN contract_meta m ON l_orderkey = m.o_orderkey
+""")
