@@ -212,39 +212,51 @@ def hierarchy_status(level: Column, duplicate_of: Column) -> Column:
     )
 
 
-def resolve_hierarchy(
-    meta: DataFrame, citations: DataFrame, codes: DataFrame, products: DataFrame, vendor: tuple[str, ...] = ()
-) -> DataFrame:
-    """The whole forest, all clients at once."""
-    contracts = cut_lineage(prepare_contracts(meta, vendor))
-    references = cut_lineage(finders.parents_by_reference(contracts, citations, codes))
-    linked = cut_lineage(second_pass(first_pass(contracts, references), references, citations, codes, products))
-    leveled = cut_lineage(assign_levels(promote_chain_roots(linked)))
+def salvage_and_break(leveled: DataFrame, codes: DataFrame) -> DataFrame:
+    """Unresolved members join promoted chain roots; what still reaches no root is an orphan."""
     promoted = leveled.where(F.col("method") == "chain_root")
     open_ = leveled.where((F.col("method") != "chain_root") & (F.col("level").isNull() | (F.col("level") < 0)))
     saved = finders.tagged(finders.salvage_chains(open_, promoted, codes), "saved")
+    # a member below the first pass keeps its link and is walked again with the salvaged ones
     salvaged = (
         leveled.join(saved, "key", "left")
         .withColumn("_s", F.col("saved_parent_key").isNotNull())
         .withColumn("parent_key", F.coalesce("saved_parent_key", "parent_key"))
-        .withColumn("level", F.when(~F.col("_s"), F.col("level")))
+        .withColumn("level", F.when(~F.col("_s") & F.col("level").isin(0, -1), F.col("level")))
         .withColumn("method", F.when(F.col("_s"), "doc_code").otherwise(F.col("method")))
         .withColumn("confidence", F.when(F.col("_s"), "low").otherwise(F.col("confidence")))
         .withColumn("is_ambiguous", F.col("is_ambiguous") & ~F.col("_s"))
         .withColumn("note", F.when(F.col("_s"), "salvaged into a chain root").otherwise(F.col("note")))
         .drop("_s", "saved_parent_key")
     )
-    forest = cut_lineage(break_chains(assign_levels(salvaged)))
-    linked_up = relink_duplicates(mark_duplicates(forest))
+    return break_chains(assign_levels(cut_lineage(salvaged)))
+
+
+def finish_forest(leveled: DataFrame, codes: DataFrame) -> DataFrame:
+    """Salvage, orphans, copies, confidence and status."""
+    linked = relink_duplicates(mark_duplicates(cut_lineage(salvage_and_break(leveled, codes))))
     notes = F.array(
         F.nullif(F.col("note"), F.lit("")), F.when(F.col("relinked"), F.lit("parent is a duplicate, moved to its original")),
         F.nullif(F.col("date_note"), F.lit("")), F.nullif(F.col("type_note"), F.lit("")),
     )
-    return with_confidence(linked_up).withColumn("status", hierarchy_status(F.col("level"), F.col("duplicate_of"))).withColumn(
-        "notes", F.array_join(F.array_compact(notes), " | ")
+    return (
+        with_confidence(linked)
+        .withColumn("status", hierarchy_status(F.col("level"), F.col("duplicate_of")))
+        .withColumn("notes", F.array_join(F.array_compact(notes), " | "))
     )
 
 
+def resolve_hierarchy(
+    meta: DataFrame, citations: DataFrame, codes: DataFrame, products: DataFrame, vendor: tuple[str, ...] = ()
+) -> DataFrame:
+    """The whole forest, all clients at once. Each pass is written before the next reads it."""
+    contracts = cut_lineage(prepare_contracts(meta, vendor))
+    references = cut_lineage(finders.parents_by_reference(contracts, citations, codes))
+    linked = cut_lineage(second_pass(first_pass(contracts, references), references, citations, codes, products))
+    leveled = cut_lineage(assign_levels(promote_chain_roots(linked)))
+    return finish_forest(leveled, codes)
+
+
 # ------------------------------------------------------------------ views of the forest
 
 

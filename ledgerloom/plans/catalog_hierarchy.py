@@ -49,6 +49,25 @@ prep AS (SELECT *, {_rank(fixed.PARENT_RANKS)} AS rank, {_rank(fixed.TYPE_RANKS)
 SAME_ENTITY = "(len(a.tokens) = 0 OR len(b.tokens) = 0 OR list_has_any(a.tokens, b.tokens))"
 
 
+_STAGES: dict = {}
+
+
+def stage(name):
+    """Stages of the forest are written once per folder and application, as a job would write them."""
+
+    def wrap(fn):
+        def once(t):
+            key = (t.spark.sparkContext.applicationId, t.folder, name)
+            if key not in _STAGES:
+                _STAGES[key] = cut_lineage(fn(t))
+            return _STAGES[key]
+
+        return once
+
+    return wrap
+
+
+@stage("contracts")
 def prepared(t):
     return h.prepare_contracts(t.contract_meta, VENDOR)
 
@@ -150,15 +169,16 @@ stat AS (
   FROM cand c JOIN prep b ON b.key = c.cand JOIN prep a ON a.key = c.key GROUP BY ALL),
 common AS (
   SELECT DISTINCT key FROM (
-    SELECT c.key, tok, count(*) AS held, any_value(a.tokens) AS at FROM (SELECT key, cand, unnest(tokens) AS tok FROM (SELECT cand.key, cand.cand, prep.tokens FROM cand JOIN prep ON prep.key = cand.cand)) c
+    SELECT c.key, tok, count(*) AS held, any_value(a.tokens) AS own FROM (SELECT key, cand, unnest(tokens) AS tok FROM (SELECT cand.key, cand.cand, prep.tokens FROM cand JOIN prep ON prep.key = cand.cand)) c
     JOIN prep a ON a.key = c.key GROUP BY ALL) JOIN stat USING (key)
-  WHERE held = n AND (len(at) = 0 OR list_contains(at, tok))),
+  WHERE held = n AND (len(own) = 0 OR list_contains(own, tok))),
 verdict AS (
   SELECT key, tier, cite, CASE WHEN n = 1 THEN all_pick WHEN own_pick IS NOT NULL THEN own_pick WHEN n_parties = 1 AND NOT unnamed THEN all_pick
     WHEN n_parties = 0 THEN all_pick WHEN n_types = 1 AND NOT undated AND span <= 7 AND key IN (SELECT key FROM common) THEN all_pick END AS chosen FROM stat),
 refs AS (SELECT key, chosen.k AS parent_key, chosen.d AS parent_date, chosen IS NULL AS is_ambiguous, cite.s AS source, cite.q AS quote, tier FROM verdict)"""
 
 
+@stage("references")
 def references(t):
     return p.parents_by_reference(prepared(t), t.citations, t.doc_codes)
 
@@ -269,9 +289,9 @@ pass2b AS (SELECT * EXCLUDE (parent2), CASE WHEN method2 <> 'orphan' THEN parent
     CASE WHEN level1 = 0 THEN 0 WHEN method2 = 'orphan' THEN -1 END AS level2 FROM pass2)"""
 
 
+@stage("linked")
 def second(t):
-    contracts = cut_lineage(prepared(t))
-    refs = cut_lineage(p.parents_by_reference(contracts, t.citations, t.doc_codes))
+    contracts, refs = prepared(t), references(t)
     return h.second_pass(h.first_pass(contracts, refs), refs, t.citations, t.doc_codes, t.contract_products)
 
 
@@ -288,7 +308,7 @@ promoted AS (SELECT * EXCLUDE (level2, method2), CASE WHEN level2 = -1 AND key I
 
 @query("promote_chain_roots", f"WITH {PROMOTED} SELECT key, level3 AS level, method3 AS method FROM promoted")
 def promote_chain_roots(t):
-    return h.promote_chain_roots(cut_lineage(second(t))).select("key", "level", "method")
+    return h.promote_chain_roots(second(t)).select("key", "level", "method")
 
 
 def _levels(src, level, parent, out):
@@ -302,7 +322,7 @@ def _levels(src, level, parent, out):
 WITH RECURSIVE {PROMOTED}, {_levels('promoted', 'level3', 'parent2', 'lv')}
 SELECT p.key, coalesce(lv.lvl, CASE WHEN level3 = -1 THEN -1 END) AS level FROM promoted p LEFT JOIN lv USING (key)""")
 def assign_levels(t):
-    return h.assign_levels(cut_lineage(h.promote_chain_roots(second(t)))).select("key", "level")
+    return leveled_of(t).select("key", "level")
 
 
 SALVAGED = f"""{PROMOTED}, {_levels('promoted', 'level3', 'parent2', 'lv')},
@@ -329,16 +349,14 @@ hier AS (SELECT *, CASE WHEN method = 'orphan' THEN NULL WHEN score >= 70 THEN '
    CASE WHEN duplicate_of IS NOT NULL THEN 'Duplicate' WHEN level = -1 THEN 'Orphan' WHEN level = 0 THEN 'Parent' ELSE 'Child' END AS status FROM forest)"""
 
 
-_FORESTS: dict = {}
+@stage("leveled")
+def leveled_of(t):
+    return h.assign_levels(h.promote_chain_roots(second(t)))
 
 
+@stage("forest")
 def forest_of(t):
-    """The resolved forest, written once per folder and application and read by every query on it."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _FORESTS:
-        forest = h.resolve_hierarchy(t.contract_meta, t.citations, t.doc_codes, t.contract_products, VENDOR)
-        _FORESTS[key] = cut_lineage(forest)
-    return _FORESTS[key]
+    return h.finish_forest(leveled_of(t), t.doc_codes)
 
 
 @query("resolve_hierarchy", f"WITH RECURSIVE {SALVAGED} SELECT key, type, level, parent_key, method, duplicate_of, score, bucket, status FROM hier")
@@ -348,20 +366,7 @@ def resolve_hierarchy(t):
 
 @query("salvage_and_break", f"WITH RECURSIVE {SALVAGED} SELECT key, level, method6 AS method, parent6 AS parent_key FROM broken")
 def salvage_and_break(t):
-    # the forest before copies are folded: a copy's own method and its children's own parents
-    f = forest_of(t)
-    leveled = cut_lineage(h.assign_levels(h.promote_chain_roots(second(t))))
-    promoted = leveled.where(F.col("method") == "chain_root")
-    open_ = leveled.where((F.col("method") != "chain_root") & (F.col("level").isNull() | (F.col("level") < 0)))
-    saved = p.tagged(p.salvage_chains(open_, promoted, t.doc_codes), "saved")
-    merged = leveled.join(saved, "key", "left").withColumn("_s", F.col("saved_parent_key").isNotNull())
-    salvaged = (
-        merged.withColumn("parent_key", F.coalesce("saved_parent_key", "parent_key"))
-        .withColumn("level", F.when(~F.col("_s"), F.col("level")))
-        .withColumn("method", F.when(F.col("_s"), "doc_code").otherwise(F.col("method"))).drop("_s")
-    )
-    del f
-    return h.break_chains(h.assign_levels(salvaged)).select("key", "level", "method", "parent_key")
+    return h.salvage_and_break(leveled_of(t), t.doc_codes).select("key", "level", "method", "parent_key")
 
 
 @query("mark_duplicates", f"WITH RECURSIVE {SALVAGED} SELECT key, duplicate_of, relinked FROM forest1")
