@@ -4,5 +4,6 @@ from ledgerloom.plans import (  # noqa: F401
     catalog_documents,
     catalog_hierarchy,
     catalog_invoices,
+    catalog_matching,
     catalog_scalars,
 )

@@ -405,3 +405,39 @@ VIEWS["contract_products"] = View("""
 SELECT DISTINCT m.client, m.key, p_name AS product
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN contract_meta m ON l_orderkey = m.o_orderkey
 """)
+
+# -------------------------------------------------------------------- matching
+
+# every part name has one vector; descriptions and items built on it share it
+VIEWS["name_vectors"] = View("""
+SELECT p_name, embedding AS vector FROM (
+  SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS n FROM (SELECT DISTINCT p_name FROM part) p) r
+JOIN embeddings ON vec_id = n
+""")
+
+VIEWS["checked_items"] = View("""
+SELECT client, item_id, item, source_contract, price, price AS price_text, concat(p_name, ' ', p_type) AS matched_description,
+       section_header AS section, amount,
+       CASE WHEN l_partkey % 4 = 0 THEN amount WHEN l_partkey % 4 = 1 THEN cast(0 AS decimal(18,2)) ELSE cast(amount / 2 AS decimal(18,2)) END AS price_value,
+       CASE WHEN quantity = '' THEN '1' ELSE quantity END AS quantity, frequency,
+       CASE WHEN l_partkey % 5 = 0 THEN concat('X', material) WHEN l_partkey % 5 = 1 THEN '' ELSE material END AS incumbent,
+       material, l_partkey, page
+FROM fee_items
+""")
+
+VIEWS["raw_products"] = View("""
+SELECT DISTINCT m.client, m.key,
+       concat(CASE p_partkey % 4 WHEN 0 THEN upper(p_name) ELSE p_name END,
+              CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' Services Schedule to the Exhibit' WHEN 2 THEN ' Service' WHEN 3 THEN ' / Module' ELSE 's' END) AS product
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN contract_meta m ON l_orderkey = m.o_orderkey
+""")
+
+VIEWS["product_terms"] = View("""
+SELECT concat('terms_v', 1 + p_partkey % 3, '.csv') AS file, p_partkey AS position, concat(' ', p_name, ' ') AS term FROM part
+""")
+
+VIEWS["roster"] = View("""
+SELECT n_name AS engagement, concat('Customer-', lpad(cast(n_nationkey AS string), 9, '0'), ' Bank') AS alias,
+       concat('customer#', lpad(cast(n_nationkey AS string), 9, '0'), ' CREDIT UNION LTD') AS name
+FROM nation
+""")
