@@ -16,6 +16,7 @@ from ledgerloom.functions.text import strip
 from ledgerloom.operators import similarity as sim
 from ledgerloom.operators.invoices import top_per
 from ledgerloom.operators.medians import exact_median
+from ledgerloom.session import cut_lineage
 
 W_PRICE, W_CONTEXT, W_PROBABILITY, W_FREQUENCY = 0.30, 0.40, 0.15, 0.15
 TEXT_WEIGHTS = {"item": 0.55, "description": 0.35, "section": 0.10}
@@ -154,37 +155,41 @@ def price_band_codes(priced: DataFrame, stats: DataFrame, buffer: float = BUFFER
     return priced.select("client", "item_id", F.col("unit_price").alias("p")).join(near, ["client", "p"]).select("client", "item_id", "code")
 
 
+TEXT_PARTS = {"item": "item", "description": "matched_description", "section": "section"}
+TEXT_COLUMNS = [f"t_{n}" for n in TEXT_PARTS]
+
+
 def item_texts(items: DataFrame) -> DataFrame:
-    """Adds `q`, the id of the item's distinct (item, description, section) text triple."""
-    parts = {"item": "item", "description": "matched_description", "section": "section"}
-    out = items
-    for name, column in parts.items():
-        out = out.withColumn(f"t_{name}", sim.legal_clean(F.col(column)))
-    return out.withColumn("q", F.sha2(F.concat_ws("\x01", *[f"t_{n}" for n in parts]), 256))
+    """Adds the cleaned item, description and section texts."""
+    return items.withColumns({f"t_{n}": sim.legal_clean(F.col(c)) for n, c in TEXT_PARTS.items()})
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Unique row ids, written at once so that a re-run of a lost task cannot change them."""
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def corpus_vectors(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit vectors, idf) of a client's code texts; `c` identifies a corpus row."""
-    rows = corpus.select("client", F.struct("code", "text").alias("c"), sim.legal_clean(F.col("text")).alias("text"))
+    """(unit vectors, idf) of a client's code texts; `c` numbers the corpus rows."""
+    rows = corpus.select("client", "c", sim.legal_clean(F.col("text")).alias("text"))
     counts = sim.gram_counts(rows, ["client", "c"], "text")
     idf = sim.gram_idf(counts, ["client", "c"], ["client"])
     return sim.unit_vectors(counts, idf, ["client", "c"], ["client"]), idf
 
 
 def text_similarity(texts: DataFrame, corpus: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(client, q, code, text, n_lines, cosine): all pairs from 0.20 up, and the `wanted` (client, q, code) pairs."""
-    vectors, idf = corpus_vectors(corpus)
+    """(client, q, code, text, n_lines, cosine): all pairs from 0.20 up, and the `wanted` (client, q, code) pairs.
+
+    `texts` is (client, q, cleaned texts) and `corpus` (client, code, text, n_lines, c).
+    """
+    vectors, idf = (cut_lineage(x) for x in corpus_vectors(corpus))
     parts = texts.select("client", "q", F.explode(F.create_map(
-        F.lit("item"), "t_item", F.lit("description"), "t_description", F.lit("section"), "t_section")).alias("part", "text")).distinct()
-    queries = sim.blended_queries(parts, idf, ["client"], TEXT_WEIGHTS)
-    near = sim.similar_pairs(queries, vectors, LEAST_SIMILAR, ["client"]).select("client", "q", "c")
-    rows = corpus.select("client", "code", F.struct("code", "text").alias("c"))
-    asked = wanted.join(rows, ["client", "code"]).select("client", "q", "c")
-    pairs = near.unionByName(asked).distinct()
-    scored = sim.cosine_of(pairs, queries, vectors, ["client"])
-    return scored.select("client", "q", F.col("c.code").alias("code"), F.col("c.text").alias("text"), "cosine").join(
-        corpus, ["client", "code", "text"]
-    )
+        *[x for n in TEXT_PARTS for x in (F.lit(n), F.col(f"t_{n}"))])).alias("part", "text"))
+    queries = cut_lineage(sim.blended_queries(parts, idf, ["client"], TEXT_WEIGHTS))
+    near = sim.similar_pairs(queries, vectors, LEAST_SIMILAR, ["client"]).select("client", "q", "c", "cosine")
+    asked = wanted.join(corpus.select("client", "code", "c"), ["client", "code"]).select("client", "q", "c").distinct()
+    low = sim.cosine_of(asked.join(near, ["client", "q", "c"], "left_anti"), queries, vectors, ["client"])
+    return near.unionByName(low).join(corpus, ["client", "c"]).drop("c")
 
 
 def best_by_code(similar: DataFrame) -> DataFrame:
@@ -197,11 +202,14 @@ def candidate_pool(items: DataFrame, lines: DataFrame, most: int = POOL):
     Candidates are billed codes of the client only: billed at the exact amount, near the amount,
     with a similar text, or the code the item already has.
     """
-    stats = code_stats(lines)
-    corpus = code_corpus(lines)
+    # each of these is read several times below; they are the job's intermediate tables
+    stats = cut_lineage(code_stats(lines))
+    corpus = numbered(code_corpus(lines), "c")
     hits = price_hits(lines)
-    priced = item_prices(item_texts(items))
-    exact = price_exact(priced, hits)
+    cleaned = item_texts(items)
+    texts = numbered(cleaned.select("client", *TEXT_COLUMNS).distinct(), "q")
+    priced = cut_lineage(item_prices(cleaned).join(texts, ["client", *TEXT_COLUMNS]))
+    exact = cut_lineage(price_exact(priced, hits))
     band = price_band_codes(priced, stats)
     billed = stats.select("client", "code")
     incumbent = priced.select("client", "item_id", strip(F.coalesce("incumbent", F.lit(""))).alias("code")).join(
@@ -210,10 +218,10 @@ def candidate_pool(items: DataFrame, lines: DataFrame, most: int = POOL):
     def tag(df, name):
         return df.select("client", "item_id", "code", F.lit(name).alias("tag"))
 
-    by_price = tag(exact, "exact-price").unionByName(tag(band, "buffer-price")).unionByName(tag(incumbent, "incumbent"))
+    by_price = cut_lineage(tag(exact, "exact-price").unionByName(tag(band, "buffer-price")).unionByName(tag(incumbent, "incumbent")))
     keys = priced.select("client", "item_id", "q")
     wanted = by_price.select("client", "item_id", "code").join(keys, ["client", "item_id"]).select("client", "q", "code").distinct()
-    similar = text_similarity(priced.select("client", "q", "t_item", "t_description", "t_section").distinct(), corpus, wanted)
+    similar = cut_lineage(text_similarity(texts, corpus, wanted))
     lexical = best_by_code(similar)
     described = top_per(lexical.where(F.col("lexical") >= LEAST_SIMILAR), ["client", "q"], [F.desc(F.round("lexical", 9)), F.col("code")], most)
     by_text = tag(keys.join(described, ["client", "q"]), "description")
@@ -316,6 +324,8 @@ def route_label(tiered: Column) -> Column:
 def validated(items: DataFrame, three: DataFrame, texts: DataFrame, outside: DataFrame, billed: DataFrame) -> DataFrame:
     """One verdict per item: code, score, band, route, reason, fallback and the last three candidates."""
     item = ["client", "item_id"]
+    three = cut_lineage(three)
+    items = items.select(*item, "matched_description", "price_value", "incumbent")
     override = tier_consensus(three).withColumn("_tiered", F.lit(True))
     marked = three.join(override, [*item, "code"], "left").withColumn("_tiered", F.coalesce("_tiered", F.lit(False)))
     shown = F.concat(F.col("code"), F.lit(":"), F.bround("final", 2).cast("string"))

@@ -5,5 +5,7 @@ from ledgerloom.plans import (  # noqa: F401
     catalog_hierarchy,
     catalog_invoices,
     catalog_matching,
+    catalog_portfolio,
     catalog_scalars,
+    catalog_text,
 )

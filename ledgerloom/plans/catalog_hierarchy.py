@@ -8,8 +8,7 @@ from ledgerloom.operators import hierarchy as h
 from ledgerloom.operators import parents as p
 from ledgerloom.plans import ducksql as d
 from ledgerloom.plans.catalog_scalars import _norm_party
-from ledgerloom.plans.registry import query
-from ledgerloom.session import cut_lineage
+from ledgerloom.plans.registry import query, stage
 
 VENDOR = ("vendorco", "vendorco solutions")
 
@@ -49,24 +48,6 @@ prep AS (SELECT *, {_rank(fixed.PARENT_RANKS)} AS rank, {_rank(fixed.TYPE_RANKS)
 SAME_ENTITY = "(len(a.tokens) = 0 OR len(b.tokens) = 0 OR list_has_any(a.tokens, b.tokens))"
 
 
-_STAGES: dict = {}
-
-
-def stage(name):
-    """Stages of the forest are written once per folder and application, as a job would write them."""
-
-    def wrap(fn):
-        def once(t):
-            key = (t.spark.sparkContext.applicationId, t.folder, name)
-            if key not in _STAGES:
-                _STAGES[key] = cut_lineage(fn(t))
-            return _STAGES[key]
-
-        return once
-
-    return wrap
-
-
 @stage("contracts")
 def prepared(t):
     return h.prepare_contracts(t.contract_meta, VENDOR)

@@ -12,7 +12,7 @@ from ledgerloom.plans import ducksql as d
 from ledgerloom.plans.catalog_hierarchy import TOKENS, VENDOR, forest_of  # noqa: F401
 from ledgerloom.plans.catalog_invoices import client_lines
 from ledgerloom.plans.catalog_scalars import CLEAN, ZERO
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import query, stage
 
 # ---- items and codes
 
@@ -313,13 +313,13 @@ def billed(t):
 @query("code_stats", f"""
 WITH {LINES}
 SELECT client, code, count(*) AS n_lines, count(DISTINCT text) AS n_texts, max(text) AS sample_text, cast(min(net) AS double) AS min_net, cast(max(net) AS double) AS max_net,
-  cast(min(abs_net) AS double) AS min_abs_net, cast(max(abs_net) AS double) AS max_abs_net, round(min(unit), 6) AS min_unit, round(max(unit), 6) AS max_unit,
+  cast(min(abs_net) AS double) AS min_abs_net, cast(max(abs_net) AS double) AS max_abs_net, round(min(unit), 8) AS min_unit, round(max(unit), 8) AS max_unit,
   cast(min(invoice_date) AS varchar) AS first_date, cast(max(invoice_date) AS varchar) AS last_date, count(DISTINCT strftime(invoice_date, '%Y-%m')) AS n_year_months,
-  count(DISTINCT document) AS n_invoices, round(median(cast(net AS double)), 4) AS median_net, round(median(cast(abs_net AS double)), 4) AS median_abs_net, round(median(unit), 6) AS median_unit
+  count(DISTINCT document) AS n_invoices, round(median(cast(net AS double)), 4) AS median_net, round(median(cast(abs_net AS double)), 4) AS median_abs_net, round(median(unit), 8) AS median_unit
 FROM l GROUP BY ALL""")
 def code_stats(t):
     s = v.code_stats(billed(t))
-    six = {c: F.round(c, 6) for c in ("min_unit", "max_unit", "median_unit")}
+    six = {c: F.round(c, 8) for c in ("min_unit", "max_unit", "median_unit")}
     four = {c: F.round(F.col(c).cast("double"), 4) for c in ("median_net", "median_abs_net")}
     return s.withColumns({**six, **four})
 
@@ -390,20 +390,45 @@ def outside_scope(t):
     return v.outside_scope(v.item_prices(t.checked_items), v.price_hits(billed(t)))
 
 
+@stage("pool")
+def pool_of(t):
+    pool, similar = v.candidate_pool(t.checked_items, billed(t))
+    _SIMILAR[(t.spark.sparkContext.applicationId, t.folder)] = similar
+    return pool
+
+
+_SIMILAR: dict = {}
+
+
 @query("candidate_pool")
 def candidate_pool(t):
-    pool, _ = v.candidate_pool(t.checked_items, billed(t))
-    return pool.select("client", "item_id", "code", "tags", F.round("lexical", 6).alias("lexical"), F.round("price", 6).alias("price"), "prelim")
+    out = pool_of(t)
+    return out.select("client", "item_id", "code", "tags", F.round("lexical", 6).alias("lexical"), F.round("price", 6).alias("price"), "prelim")
+
+
+@stage("three")
+def three_of(t):
+    pool = pool_of(t)
+    return v.score_funnel(pool, _SIMILAR[(t.spark.sparkContext.applicationId, t.folder)])
 
 
 @query("score_funnel")
 def score_funnel(t):
-    three = v.score_funnel(*v.candidate_pool(t.checked_items, billed(t)))
-    return three.select("client", "item_id", "code", "place", "final", "cadence", F.round("probability", 6).alias("probability"))
+    return three_of(t).select("client", "item_id", "code", "place", "final", "cadence", F.round("probability", 6).alias("probability"))
+
+
+@query("tier_consensus")
+def tier_consensus(t):
+    return v.tier_consensus(three_of(t))
 
 
+@stage("validated")
 def validated_items(t):
-    return v.validate_codes(t.checked_items, billed(t))
+    lines = billed(t)
+    hits = v.price_hits(lines)
+    outside = v.outside_scope(v.item_prices(t.checked_items), hits)
+    texts = v.code_texts(v.code_corpus(lines))
+    return v.validated(t.checked_items, three_of(t), texts, outside, hits.select("client", "code").distinct())
 
 
 @query("validate_codes")

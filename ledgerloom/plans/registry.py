@@ -9,6 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.plans.views import VIEWS, Tables, sources_of, tables
+from ledgerloom.session import cut_lineage
+
+_STAGES: dict = {}
+
+
+def stage(name):
+    """A stage several queries read: written once per folder and application, as a job would write it."""
+
+    def wrap(fn):
+        def once(t):
+            key = (t.spark.sparkContext.applicationId, t.folder, name)
+            if key not in _STAGES:
+                _STAGES[key] = cut_lineage(fn(t))
+            return _STAGES[key]
+
+        return once
+
+    return wrap
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -441,3 +441,72 @@ SELECT n_name AS engagement, concat('Customer-', lpad(cast(n_nationkey AS string
        concat('customer#', lpad(cast(n_nationkey AS string), 9, '0'), ' CREDIT UNION LTD') AS name
 FROM nation
 """)
+
+# --------------------------------------------------------------- model replies
+
+# three chunks per contract; some replies are fenced, wrapped in prose, or cut off
+VIEWS["model_replies"] = View("""
+SELECT client, key, chunk,
+       CASE (o_orderkey + chunk) % 5
+            WHEN 0 THEN concat('```json', chr(10), '{"items": ', objects, '}', chr(10), '```')
+            WHEN 1 THEN concat('Here you are: {"items": ', objects, '} Done.')
+            WHEN 2 THEN objects
+            WHEN 3 THEN concat('{"items": [{"row_id": ', o_orderkey, ', "code": "C', chunk, '", "price": "$1"}, {"row_id": 7, "code": "cut')
+            ELSE 'I cannot read this page.' END AS reply, o_orderkey
+FROM (SELECT client, key, o_orderkey, chunk, concat('[{"row_id": ', o_orderkey, ', "code": "A', chunk, '", "price": "$', o_orderkey % 100, '"}, {"row_id": ', chunk, ', "code": "B", "price": null}]') AS objects
+      FROM (SELECT client, key, o_orderkey, 0 AS chunk FROM contract_meta UNION ALL SELECT client, key, o_orderkey, 1 FROM contract_meta
+            UNION ALL SELECT client, key, o_orderkey, 2 FROM contract_meta) c) o
+""")
+
+VIEWS["chunk_replies"] = View("""
+SELECT client, key, chunk, o_orderkey,
+       concat('{"contract_type": "', CASE chunk WHEN 0 THEN contract_type ELSE 'Later type' END, '", "effective_date": "200', chunk, '-01-01", ',
+              '"parties": ["P', chunk, '"], "parent_references": ["ref ', chunk % 2, '", "", "own ', o_orderkey, '"], ',
+              '"supersedes_text": ', CASE WHEN chunk = 0 THEN 'null' ELSE concat('"old paper ', chunk, '"') END, ', ',
+              '"internal_doc_codes": [{"value": " 77', o_orderkey % 3, '", "position": "', CASE chunk WHEN 0 THEN 'unknown' WHEN 1 THEN 'printed_body' ELSE 'scribble' END, '"}, {"value": "X', chunk, '", "position": "printed_stamp"}, {"value": "", "position": "printed_body"}], ',
+              '"section_structure": [{"header": "Fees", "product": ', CASE chunk WHEN 1 THEN '"Ledger"' ELSE '"n/a"' END, ', "subheaders": [{"text": "One", "product": null, "items": ["a', chunk % 2, '", "b"]}]}, {"header": "S', chunk, '", "product": null, "subheaders": []}], ',
+              '"extraction_confidence": ', CASE (o_orderkey + chunk) % 4 WHEN 0 THEN '"high"' WHEN 1 THEN '"medium"' WHEN 2 THEN '"low"' ELSE 'null' END,
+              ', "extraction_confidence_score": ', o_orderkey % 90 + chunk * 10, '}') AS reply
+FROM (SELECT client, key, o_orderkey, contract_type, 0 AS chunk FROM contract_meta UNION ALL SELECT client, key, o_orderkey, contract_type, 1 FROM contract_meta
+      UNION ALL SELECT client, key, o_orderkey, contract_type, 2 FROM contract_meta) c
+""")
+
+VIEWS["old_records"] = View("""
+SELECT client, key, filename, contract_type, o_orderkey, o_orderkey % 2 AS n_references,
+       CASE o_orderkey % 4 WHEN 0 THEN '["12345", " x "]' WHEN 1 THEN '[{"value": "12345", "position": "printed_body"}, "77", {"value": "9", "position": "nowhere"}]' WHEN 2 THEN '[]' END AS codes_json,
+       o_orderkey % 3 AS n_nested, o_orderkey % 5 AS n_flat, o_orderkey % 10 = 0 AS failed, o_orderkey % 7 = 0 AS references_attempted,
+       o_orderkey % 6 = 0 AS type_attempted, o_orderkey % 8 = 0 AS codes_attempted, o_orderkey % 9 = 0 AS sections_attempted
+FROM contract_meta
+""")
+
+VIEWS["file_paths"] = View("""
+SELECT concat('/contracts/', replace(client, '#', '-'), '/', CASE o_orderkey % 6 WHEN 0 THEN replace(filename, '.pdf', '.xlsx') WHEN 1 THEN replace(filename, '.pdf', '.TIF') ELSE filename END) AS path, size
+FROM contracts
+""")
+
+VIEWS["dictionary_files"] = View("""
+SELECT c_mktsegment AS core, concat('/in/', c_mktsegment, '/', CASE c_custkey % 7 WHEN 0 THEN 'Dictionary' ELSE 'prices' END, '_', c_custkey, '.csv') AS path, cast(floor(c_acctbal) AS bigint) AS size
+FROM customer
+""")
+
+# ---------------------------------------------------------- messages and usage
+
+VIEWS["messages"] = View("""
+SELECT concat(conv_id, '-', turn) AS message_id,
+       concat(c.text, CASE turn % 4
+         WHEN 0 THEN concat(chr(10), 'see ', k.filename, ' p. 9')
+         WHEN 1 THEN concat(chr(10), 'not ', k.filename, chr(10), '## Sources:', chr(10), replace(upper(k2.filename), '.PDF', ''), ' p.12, p. 7 and [INVOICE] ', 10000000 + k.o_orderkey, ' https://other.example/x1).')
+         WHEN 2 THEN concat(chr(10), 'https://invoices.example/', k.o_orderkey, ' [invoice] see https://other.example/', turn, ', ')
+         ELSE '' END) AS text
+FROM conversations c JOIN contracts k ON k.o_orderkey = c.conv_id JOIN contracts k2 ON k2.o_orderkey = c.conv_id + 1
+""")
+
+VIEWS["usage"] = View("""
+SELECT event_id AS run_id, cast(user_id AS string) AS client, event_type AS agent, ts, value AS runtime_s,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 100 END AS input_tokens, 2 * (event_id % 50) AS output_tokens,
+       CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 5 = 1 THEN NULL ELSE event_id % 300 END AS total_tokens,
+       CASE event_id % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE '' END AS requested_model,
+       CASE event_id % 4 WHEN 0 THEN 'large-2' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE 'small-2' END AS actual_model,
+       CASE event_type WHEN 'click' THEN 'complete' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'queued' WHEN 'error' THEN 'error' ELSE 'paused' END AS state
+FROM events
+""")
