@@ -4,6 +4,7 @@ from ledgerloom.plans import (  # noqa: F401
     catalog_documents,
     catalog_hierarchy,
     catalog_invoices,
+    catalog_jobs,
     catalog_matching,
     catalog_portfolio,
     catalog_scalars,

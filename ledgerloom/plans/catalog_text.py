@@ -186,7 +186,7 @@ def unreadable_replies(t):
 
 
 def merged(t):
-    chunks = t.chunk_replies.withColumn("r", mo.parse_object(F.col("reply"), f"struct<{mo.CONTRACT_TYPE.replace(' string', ':string').replace(' array', ':array').replace(' int', ':int')}>"))
+    chunks = t.chunk_replies.withColumn("r", mo.parse_object(F.col("reply"), mo.CONTRACT_TYPE))
     return mo.merge_chunks(chunks.select("client", "key", "chunk", "r.*"), ["client", "key"])
 
 
@@ -311,13 +311,6 @@ def conform(t):
     return rows
 
 
-@query("conform_report")
-def conform_report(t):
-    _, report = src.conform(t.invoice_core, ["document", "material", "description", "sales_office"],
-                            {"description": ["material_text"]}, required=("material",), sort_column="invoice_date")
-    return report
-
-
 @query("knowledge_sections", r"""
 WITH k AS (SELECT doc_id, concat(chr(10), '## 1. ', replace(text, chr(10), concat(chr(10), '## 8. '))) AS t FROM documents),
 s AS (SELECT doc_id AS doc, unnest(string_split(t, concat(chr(10), '## '))) AS part, generate_subscripts(string_split(t, concat(chr(10), '## ')), 1) - 1 AS position FROM k)
