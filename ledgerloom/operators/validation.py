@@ -186,7 +186,7 @@ def text_similarity(texts: DataFrame, corpus: DataFrame, wanted: DataFrame) -> D
     parts = texts.select("client", "q", F.explode(F.create_map(
         *[x for n in TEXT_PARTS for x in (F.lit(n), F.col(f"t_{n}"))])).alias("part", "text"))
     queries = cut_lineage(sim.blended_queries(parts, idf, ["client"], TEXT_WEIGHTS))
-    near = sim.similar_pairs(queries, vectors, LEAST_SIMILAR, ["client"]).select("client", "q", "c", "cosine")
+    near = cut_lineage(sim.similar_pairs_blocked(queries, vectors, LEAST_SIMILAR, ["client"]))
     asked = wanted.join(corpus.select("client", "code", "c"), ["client", "code"]).select("client", "q", "c").distinct()
     low = sim.cosine_of(asked.join(near, ["client", "q", "c"], "left_anti"), queries, vectors, ["client"])
     return near.unionByName(low).join(corpus, ["client", "c"]).drop("c")

@@ -245,7 +245,7 @@ def tfidf_pairs(t):
 
 
 @query("best_text_match", f"""
-WITH {TFIDF} SELECT q, c, round(cosine, 6) AS cosine FROM sims WHERE cosine >= 0.5
+WITH {TFIDF} SELECT q, c, round(round(cosine, 9), 6) AS cosine FROM sims WHERE cosine >= 0.5
 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(cosine, 9) DESC, c) = 1""")
 def best_text_match(t):
     q, c = item_text_rows(t)

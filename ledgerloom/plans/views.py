@@ -418,7 +418,7 @@ JOIN embeddings ON vec_id = n
 VIEWS["checked_items"] = View("""
 SELECT client, item_id, item, source_contract, price, price AS price_text, concat(p_name, ' ', p_type) AS matched_description,
        section_header AS section, amount,
-       CASE WHEN l_partkey % 4 = 0 THEN amount WHEN l_partkey % 4 = 1 THEN cast(0 AS decimal(18,2)) ELSE cast(amount / 2 AS decimal(18,2)) END AS price_value,
+       CASE WHEN l_partkey % 4 = 0 THEN amount WHEN l_partkey % 4 = 1 THEN cast(0 AS decimal(18,2)) ELSE cast(floor(amount * 50) / 100 AS decimal(18,2)) END AS price_value,
        CASE WHEN quantity = '' THEN '1' ELSE quantity END AS quantity, frequency,
        CASE WHEN l_partkey % 5 = 0 THEN concat('X', material) WHEN l_partkey % 5 = 1 THEN '' ELSE material END AS incumbent,
        material, l_partkey, page
