@@ -430,6 +430,12 @@ def invoice_detail(lines: DataFrame, by: tuple[str, ...] = ("client",), invoices
 # ------------------------------------------------------------------ contract codes against billing
 
 
+def with_norm(rows: DataFrame, column: str) -> DataFrame:
+    """Adds `norm`, the company normal form of a text column, worked out once per distinct text."""
+    texts = rows.select(column).distinct().withColumn("norm", norm_company(F.col(column)))
+    return rows.join(texts, column)
+
+
 def contract_rows(codes: DataFrame) -> DataFrame:
     """Contract code rows with clean text, page number and normalised description; blank codes dropped."""
     clean = codes.select(
@@ -442,7 +448,7 @@ def contract_rows(codes: DataFrame) -> DataFrame:
         page_number(F.col("page")).alias("page"),
     ).where(F.col("code") != "")
     named = F.when(F.col("description") != "", F.col("description")).otherwise(F.col("item"))
-    return clean.withColumn("named", named).withColumn("norm", norm_company(named))
+    return with_norm(clean.withColumn("named", named), "named")
 
 
 _ROW_ORDER = ("source_contract", "page", "named", "item", "price")
@@ -480,7 +486,8 @@ def _billed_sides(lines: DataFrame):
         text_or_blank(F.col("material_text")).alias("text"),
         text_or_blank(F.col("hier_name")).alias("hier"),
         _line_order().alias("_at"),
-    ).withColumn("norm", norm_company(F.when(F.col("text") != "", F.col("text")).otherwise(F.col("hier"))))
+    )
+    clean = with_norm(clean.withColumn("_shown", F.when(F.col("text") != "", F.col("text")).otherwise(F.col("hier"))), "_shown")
     first = F.min(F.struct("_at", "code", "text", "hier"))
     by_code = (
         clean.where(F.col("code") != "").groupBy("client", "code")

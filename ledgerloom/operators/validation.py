@@ -53,10 +53,13 @@ def code_stats(lines: DataFrame) -> DataFrame:
         F.count_distinct(F.trunc("invoice_date", "month")).alias("n_year_months"),
         F.count_distinct("document").alias("n_invoices"),
     )
-    out = base
-    for value in ("net", "abs_net", "unit"):
-        out = out.join(exact_median(rows, KEY, value, f"median_{value}"), KEY, "left")
-    return out
+    # the three values side by side, so that the lines are read once for all medians
+    values = ("net", "abs_net", "unit")
+    tall = rows.select(*KEY, F.explode(F.array(*[
+        F.struct(F.lit(v).alias("kind"), F.col(v).cast("double").alias("value")) for v in values])).alias("x")).select(*KEY, "x.*")
+    medians = exact_median(tall, [*KEY, "kind"], "value", "m")
+    wide = medians.groupBy(*KEY).agg(*[F.max(F.when(F.col("kind") == v, F.col("m"))).alias(f"median_{v}") for v in values])
+    return base.join(wide, KEY, "left")
 
 
 def code_attributes(lines: DataFrame) -> DataFrame:
