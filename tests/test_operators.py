@@ -73,28 +73,28 @@ def _forest(spark, rows, citations, codes=()):
 
 
 def test_forest_rules(spark):
-    bank, other = ["Vendorco, Inc.", "Kearny Bank"], ["Vendorco LLC", "Atlas Bank"]
+    bank, other = ["Vendorco, Inc.", "Harbor Bank"], ["Vendorco LLC", "Atlas Bank"]
     f = _forest(
         spark,
         [
-            ("Kearny_m1", "MSA", "2007-07-25", bank), ("Kearny_m2", "Master Agreement", "2007-07-25", bank), ("Atlas_m", "MSA", "2007-07-25", other),
-            ("Kearny_am", "Amendment", "2007-07-27", bank), ("Kearny_self", "Amendment", "2016-03-28", bank), ("Kearny_sow", "SOW", "2009-01-01", bank),
-            ("Kearny_sw", "Software Agreement", "2007-09-01", bank), ("Kearny_late", "Software Agreement", "2012-09-01", bank),
-            ("Kearny_chain", "Purchase Order", "2010-01-01", bank), ("Kearny_chain2", "Purchase Order", "2011-01-01", bank),
+            ("Harbor_m1", "MSA", "2007-07-25", bank), ("Harbor_m2", "Master Agreement", "2007-07-25", bank), ("Atlas_m", "MSA", "2007-07-25", other),
+            ("Harbor_am", "Amendment", "2007-07-27", bank), ("Harbor_self", "Amendment", "2016-03-28", bank), ("Harbor_sow", "SOW", "2009-01-01", bank),
+            ("Harbor_sw", "Software Agreement", "2007-09-01", bank), ("Harbor_late", "Software Agreement", "2012-09-01", bank),
+            ("Harbor_chain", "Purchase Order", "2010-01-01", bank), ("Harbor_chain2", "Purchase Order", "2011-01-01", bank),
         ],
         [
-            ("Kearny_am", "Master RMD Agreement dated July 25, 2007"), ("Kearny_self", "AMENDMENT dated as of March 28, 2016"),
-            ("Kearny_sow", "under the Master Agreement"), ("Kearny_sw", "Agreement dated 7/25/2007"), ("Kearny_late", "Agreement dated 7/25/2007"),
+            ("Harbor_am", "Master RMD Agreement dated July 25, 2007"), ("Harbor_self", "AMENDMENT dated as of March 28, 2016"),
+            ("Harbor_sow", "under the Master Agreement"), ("Harbor_sw", "Agreement dated 7/25/2007"), ("Harbor_late", "Agreement dated 7/25/2007"),
         ],
-        [("Kearny_chain", "Contract 2035", "printed_body"), ("Kearny_chain2", "Order #2035", "handwritten_margin")],
+        [("Harbor_chain", "Contract 2035", "printed_body"), ("Harbor_chain2", "Order #2035", "handwritten_margin")],
     )
-    assert f["Kearny_am"].parent_key == "c/Kearny_m1" and f["Kearny_am"].level == 1  # the copies fold, the other entity is ignored
-    assert f["Kearny_m2"].duplicate_of == "c/Kearny_m1" and f["Kearny_m2"].status == "Duplicate"
-    assert f["Kearny_self"].status == "Orphan"  # its own date is no citation
-    assert f["Kearny_sow"].method == "single_msa_fallback" and f["Kearny_sow"].parent_key == "c/Kearny_m1"
-    assert f["Kearny_sw"].method == "reference"  # within the bundle window
-    assert f["Kearny_late"].method == "miscellaneous" and f["Kearny_late"].level == 0
-    assert f["Kearny_chain"].method == "chain_root" and f["Kearny_chain2"].parent_key == "c/Kearny_chain"
+    assert f["Harbor_am"].parent_key == "c/Harbor_m1" and f["Harbor_am"].level == 1  # the copies fold, the other entity is ignored
+    assert f["Harbor_m2"].duplicate_of == "c/Harbor_m1" and f["Harbor_m2"].status == "Duplicate"
+    assert f["Harbor_self"].status == "Orphan"  # its own date is no citation
+    assert f["Harbor_sow"].method == "single_msa_fallback" and f["Harbor_sow"].parent_key == "c/Harbor_m1"
+    assert f["Harbor_sw"].method == "reference"  # within the bundle window
+    assert f["Harbor_late"].method == "miscellaneous" and f["Harbor_late"].level == 0
+    assert f["Harbor_chain"].method == "chain_root" and f["Harbor_chain2"].parent_key == "c/Harbor_chain"
     for r in f.values():
         if r.parent_key:
             parent = next(p for p in f.values() if p.key == r.parent_key)
