@@ -50,7 +50,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         .withColumn("limit", F.lit(most) * F.col("source_size")).withColumn("fill", F.col("limit") / F.col("weight"))
         .withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(full), F.lit(0))) / F.sum("weight").over(rest))
         .withColumn("stops", F.col("fill") <= F.col("level"))
-        .withColumn("share", F.min(F.when(~F.col("stops"), F.col("level"))).over(every))
+        .withColumn("share", F.max(F.when(~F.col("stops"), F.col("level"))).over(every))
         .withColumn("target", F.when(F.col("stops"), F.col("limit").cast("double")).otherwise(F.col("weight") * F.col("share")))
         .select("source", "place", "source_size", "docs", "target")
     )
