@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, exactdedup, mixing, pii, simhash, toxicity, urlfilter
+from ledgerloom.llm import decontaminate, exactdedup, lm, mixing, pii, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, spans = pii.span_texts()
     counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return pii.find_private(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
