@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, exactdedup, lm, mixing, pii, simhash, toxicity, urlfilter
+from ledgerloom.llm import decontaminate, exactdedup, lm, mixing, pii, simhash, suffixdedup, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_scoring")
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.drop_repeats(table(spark, sf_dir, "documents"), texts=False)
