@@ -181,4 +181,4 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     row, hit_row = fresh(documents, "row"), fresh(documents, "hit_row")
     _, found, _ = matches(documents, benchmark)
     hit = found.select(F.col("row").alias(hit_row)).distinct()
-    return documents.withColumn(row, F.monotonically_increasing_id()).join(hit, F.col(row) == F.col(hit_row), "left_anti").drop(row)
+    return documents.withColumn(row, F.monotonically_increasing_id()).join(hit.hint("shuffle_hash"), F.col(row) == F.col(hit_row), "left_anti").drop(row)

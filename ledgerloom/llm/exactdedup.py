@@ -126,4 +126,4 @@ def drop_exact_copies(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
     row, kept_row = fresh(documents, "row"), fresh(documents, "kept_row")
     kept = exact_groups(documents, block_bytes).where("kept").select(F.col("row").alias(kept_row))
     numbered = documents.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
+    return numbered.join(kept.hint("shuffle_hash"), F.col(row) == F.col(kept_row), "left_semi").drop(row)

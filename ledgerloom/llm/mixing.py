@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.stages import written
+from ledgerloom.llm.stages import fresh, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -143,3 +143,12 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 def sized(documents: DataFrame) -> DataFrame:
     """doc_id, source, size of every document."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"))
+
+
+def mix_documents(documents: DataFrame) -> DataFrame:
+    """`documents` with size, source_size, target, copies, taken (under other names where they have such columns)."""
+    whole = documents.select(
+        F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")
+    )
+    added = ("size", "source_size", "target", "copies", "taken")
+    return mix(whole).select("document.*", *[F.col(c).alias(fresh(documents, c)) for c in added])

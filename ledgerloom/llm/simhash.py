@@ -232,4 +232,4 @@ def drop_near_copies(documents: DataFrame, shingle_words: int = 5) -> DataFrame:
     row, kept_row = fresh(documents, "row"), fresh(documents, "kept_row")
     kept = near_groups(documents, shingle_words).where("keeper").select(F.col("row").alias(kept_row))
     numbered = documents.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
+    return numbered.join(kept.hint("shuffle_hash"), F.col(row) == F.col(kept_row), "left_semi").drop(row)

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.stages import fresh, written
+from ledgerloom.llm.stages import written
 from ledgerloom.llm.textbytes import LOWER, WORD, prefix_sums, runs, span_hashes, words
 
 BUCKETS = 1 << 18
@@ -162,46 +162,52 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     return sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary")
 
 
-def _scorer(model: np.ndarray):
+def text_scores(model: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """The probability of label 1 of every text; the cut of the model scores THRESHOLD."""
     effect, bias, cut = model[:BUCKETS], float(model[BUCKETS]), float(model[BUCKETS + 1])
-    at = np.log(THRESHOLD / (1 - THRESHOLD))
+    shift = bias - cut + np.log(THRESHOLD / (1 - THRESHOLD)) * (abs(bias) < 40)
+    scores = np.empty(len(texts))
+    for first, data, offsets in runs(texts):
+        rows = len(offsets) - 1
+        total, count = np.zeros(rows), np.zeros(rows)
+        for bucket, row in features(data, offsets):
+            total += np.bincount(row, weights=effect[bucket], minlength=rows)
+            count += np.bincount(row, minlength=rows)
+        scores[first : first + rows] = _sigmoid(total / np.maximum(count, 1) + shift)
+    return scores
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.empty(len(batch))
-            for first, data, offsets in runs(batch.column("text")):
-                rows = len(offsets) - 1
-                total, count = np.zeros(rows), np.zeros(rows)
-                for bucket, row in features(data, offsets):
-                    total += np.bincount(row, weights=effect[bucket], minlength=rows)
-                    count += np.bincount(row, minlength=rows)
-                scores[first : first + rows] = _sigmoid(total / np.maximum(count, 1) + bias - cut + at * (abs(bias) < 40))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(scores)], [*(c for c in batch.schema.names if c != "text"), "score"])
 
-    return run
+def _model(labelled: DataFrame) -> np.ndarray:
+    """The fitted numbers, read on the driver (1 MB); without labelled rows a model that scores 0."""
+    row = written(train(labelled), "toxicity").first()
+    if row:
+        return np.frombuffer(row["model"], np.float32)
+    return fit(pa.array([], pa.string()), np.zeros(0), np.zeros(0, bool))
 
 
-def scores(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """`documents` (any columns, text among them) without text and with score; one model row, read on the driver (1 MB)."""
-    numbers = np.frombuffer(model.first()["model"], np.float32)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != "text")
-    return documents.mapInArrow(_scorer(numbers), f"{kept}, score double")
+def _labelled(documents: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL").where(~held_out), "doc_id")
 
 
-def score_held_out(documents: DataFrame, labels: DataFrame, held_out) -> DataFrame:
+def score_held_out(documents: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, score of every document; labels of rows where `held_out` is true are never learnt."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").where(~held_out)
-    model = written(train(docs.join(marks, "doc_id")), "toxicity")
-    return scores(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+    model = _model(_labelled(documents, labels, held_out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(text_scores(model, batch.column("text")))], ["doc_id", "held_out", "score"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
 
 
-def drop_toxic(documents: DataFrame, labels: DataFrame, held_out) -> DataFrame:
+def drop_toxic(documents: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """`documents` that score below the threshold, all columns as they were."""
-    row, kept_row = fresh(documents, "row"), fresh(documents, "kept_row")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").where(~held_out)
-    model = written(train(docs.join(marks, "doc_id")), "toxicity")
-    texts = documents.select(F.monotonically_increasing_id().alias(kept_row), F.col("text").cast("string").alias("text"))
-    kept = scores(texts, model).where(F.col("score") < THRESHOLD).select(kept_row)
-    return documents.withColumn(row, F.monotonically_increasing_id()).join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
+    model = _model(_labelled(documents, labels, held_out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(text_scores(model, batch.column("text")) < THRESHOLD))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -25,8 +25,7 @@ def corpus(n, seed):
 
 
 def score(model, texts):
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    return next(toxicity._scorer(model)([batch])).column("score").to_numpy()
+    return toxicity.text_scores(model, pa.array(texts, pa.string()))
 
 
 def test_learns_words_and_misspellings():
