@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.stages import written
 
 SAMPLE_PAGES = 200
-LAYOUTS = 500
-EPOCHS = 6
+LAYOUTS = 400
+EPOCHS = 5
 HIDDEN, VECTOR, PATHS, WORDS = 24, 16, 2048, 1024
 NUMBERS = 6
 WORDS_READ = 40  # of a block's words, spread evenly over it, go into its vector; the text itself is never cut

@@ -12,7 +12,7 @@ def texts(page):
 
 def test_blocks():
     assert texts(None) == texts("") == texts("<p></p><br>") == []
-    assert texts("<title>t</title><p>a<b>b</b>c<br>d &amp; &eacute;&#233;\n <p>e</div>f") == ["abc d & éé", "e", "f"]
+    assert texts("<title>t</title><div><p>a<b>b</b>c<br>d &amp; &eacute;&#233;\n <p>e</div>f</div>g") == ["abc d & éé", "e", "fg"]
     assert texts('x <a title="1>2">y</a> < z <3 <script>var a = "</p>";<p></script><style>p{}</style>w<!-- <p>no</p> -->v <p un') == ["x y < z <3", "wv"]
     assert texts("a<p title='b>c</p>d") == ["a", "c", "d"]
     assert texts("<ul><li>a<li><a href=/x>b</a></ul>c &am") == ["a", "b", "c &am"]

@@ -58,11 +58,11 @@ def test_query_scores_every_row_and_learns_only_other_folds(spark):
 
 
 def test_stage_keeps_columns(spark):
-    texts, labels = corpus(120, 3)
+    texts, labels = corpus(400, 3)
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] + [(None, None, 1), (7, "", 1)], "doc_id long, text string, row int")
     marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)] + [(500, 1), (3, None)], "doc_id long, toxic int")
     out = toxicity.drop_toxic(docs, marks, F.lit(False))
     assert out.columns == docs.columns
     left = {r.doc_id for r in out.collect()}
-    assert None in left and len(left & {i for i, y in enumerate(labels) if y}) <= 3 and len(left) >= 88
+    assert None in left and len(left & {i for i, y in enumerate(labels) if y}) <= 5 and len(left) >= 295
     assert toxicity.drop_toxic(docs.where("false"), marks, F.lit(False)).count() == 0
