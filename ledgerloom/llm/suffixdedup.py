@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.buffers import buffers, pack, unpack
 from ledgerloom.llm.stages import written
-from ledgerloom.llm.textbytes import mix, prefix_sums, runs, span_hashes
+from ledgerloom.llm.textbytes import RUN_BYTES, mix, prefix_sums, runs, span_hashes
 
 SPAN = 100
 GRAM = 40
@@ -304,17 +304,27 @@ def _drop(shards: int, texts: bool):
         # A repeated content is repeated wherever it stands; other blocks of a content than its first are repeated too.
         low = np.concatenate([*gone, blocks.start[whole]]).astype(np.int64)
         high = np.concatenate([*(g + SPAN for g in gone), blocks.start[whole] + blocks.strings[whole] - 1 + SPAN]).astype(np.int64)
-        size = len(blocks.data)
-        depth = np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1)
-        covered = np.cumsum(depth)[:size] > 0
-        removed = np.append(0, np.cumsum(covered))
-        begins = covered & ~np.append(False, covered[:-1])
-        begins[blocks.offsets[:-1][blocks.offsets[:-1] < size]] = covered[blocks.offsets[:-1][blocks.offsets[:-1] < size]]
-        spans = np.append(0, np.cumsum(begins))
-        kept_bytes = blocks.data[~covered]
-        ends = np.arange(size + 1) - removed
-        kept = [kept_bytes[ends[a] : ends[b]].tobytes() for a, b in zip(blocks.offsets[:-1].tolist(), blocks.offsets[1:].tolist())]
-        columns = [ids, pa.array(np.diff(blocks.offsets)), pa.array(np.diff(removed[blocks.offsets])), pa.array(np.diff(spans[blocks.offsets])), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+        order = np.argsort(low, kind="stable")
+        low, high = low[order], high[order]
+        digests, kept, removed, spans = [], [], [], []
+        # Byte by byte over a few rows at a time: spans never leave their text.
+        first, rows_, edges = 0, len(blocks.offsets) - 1, blocks.offsets
+        while first < rows_:
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + RUN_BYTES, "right")) - 1)
+            begin, end = int(edges[first]), int(edges[last])
+            part = slice(*np.searchsorted(low, (begin, end)))
+            depth = np.bincount(low[part] - begin, minlength=end - begin + 1) - np.bincount(high[part] - begin, minlength=end - begin + 1)
+            covered = np.cumsum(depth)[: end - begin] > 0
+            for x, y in zip((edges[first:last] - begin).tolist(), (edges[first + 1 : last + 1] - begin).tolist()):
+                gone_here = covered[x:y]
+                rest = blocks.data[begin + x : begin + y][~gone_here].tobytes()
+                digests.append(hashlib.sha256(rest).hexdigest())
+                removed.append(y - x - len(rest))
+                spans.append(int((gone_here[1:] & ~gone_here[:-1]).sum()) + int(gone_here[:1].any()))
+                if texts:
+                    kept.append(rest)
+            first = last
+        columns = [ids, pa.array(np.diff(edges)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
         if texts:
             columns.append(pa.array(kept, pa.binary()))
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
