@@ -31,8 +31,8 @@ from ledgerloom.llm.textbytes import LOWER, WORD, prefix_sums, runs, span_hashes
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6, 7, 8)
 DIMENSION = 8
-TRAIN_ROWS = 5000
-EPOCHS = 50
+TRAIN_ROWS = 2500
+EPOCHS = 30
 BATCH = 256
 RATE = 0.1
 SHRINKAGE = (0.6, 2.5)  # the better one on the part of the sample held back
