@@ -23,8 +23,6 @@ from ledgerloom.operators import parents as finders
 from ledgerloom.operators.invoices import top_per
 from ledgerloom.session import cut_lineage
 
-MAX_LEVELS = 20
-
 
 def prepare_contracts(meta: DataFrame, vendor: tuple[str, ...] = ()) -> DataFrame:
     """Resolved type and dates, entity words, party set and ranks of every contract."""
@@ -126,26 +124,29 @@ def promote_chain_roots(linked: DataFrame) -> DataFrame:
     )
 
 
-def assign_levels(linked: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Level of every contract below a root, null where no root is reached within `max_levels`.
+def assign_levels(linked: DataFrame) -> DataFrame:
+    """Level of every contract below a root, null where no root is reached (cycles, missing parents).
 
-    Pointer doubling: after k rounds a contract knows its ancestor 2^k steps up, so depth 20
-    takes five self joins on unique keys instead of twenty.
+    Pointer doubling: after k rounds a contract knows its ancestor 2^k steps up. If a round
+    brings no further contract to its root, none lies deeper, since depths have no gaps.
     """
     nodes = linked.select(
         "key", F.when(F.col("level") == 0, F.col("key")).otherwise(F.col("parent_key")).alias("up"),
         F.when(F.col("level") == 0, 0).otherwise(1).alias("steps"), (F.col("level") == 0).alias("root"),
     ).withColumn("root", F.coalesce("root", F.lit(False)))
-    rounds = max(1, (max_levels - 1).bit_length())
-    reach = nodes
-    for _ in range(rounds):
+    roots = nodes.where(F.col("root")).select(F.col("key").alias("up"))
+    reach, settled = nodes, -1
+    while True:
         hop = reach.select(F.col("key").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
         # roots point to themselves with 0 steps; a missing parent ends the chain
         reach = cut_lineage(
             reach.join(hop, "up", "left").select("key", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), "root")
         )
-    roots = nodes.where(F.col("root")).select(F.col("key").alias("up"))
-    levels = reach.join(roots, "up", "left_semi").where(F.col("steps") <= max_levels).select("key", F.col("steps").alias("_level"))
+        there = reach.join(roots, "up", "left_semi").count()
+        if there == settled:
+            break
+        settled = there
+    levels = reach.join(roots, "up", "left_semi").select("key", F.col("steps").alias("_level"))
     return (
         linked.join(levels, "key", "left")
         .withColumn("level", F.coalesce("_level", F.when(F.col("level") == -1, F.lit(-1))).cast("int"))

@@ -158,19 +158,20 @@ def invoice_recent(lines: DataFrame, scope: DataFrame, n: int = 400) -> DataFram
     return top_per(tagged, ["client"], newest_first(), n)
 
 
-def invoice_by_document(lines: DataFrame, asked: DataFrame, n: int = 2000) -> DataFrame:
-    """Lines of the asked documents of each question, whoever was billed."""
+def invoice_by_document(lines: DataFrame, asked: DataFrame, n: int | None = None) -> DataFrame:
+    """Lines of the asked documents of each question, whoever was billed; all of them, or the newest `n`."""
     wanted = asked.select("question_id", strip(F.col("document")).alias("document")).distinct()
-    return top_per(lines.join(wanted, "document"), ["question_id"], newest_first(), n)
+    rows = lines.join(wanted, "document")
+    return rows if n is None else top_per(rows, ["question_id"], newest_first(), n)
 
 
-def invoice_by_material(lines: DataFrame, asked: DataFrame, by_client: bool = False, n: int = 2000) -> DataFrame:
-    """Full-history lines of the asked codes; `by_client` keeps the asking client's own (scoped) lines."""
+def invoice_by_material(lines: DataFrame, asked: DataFrame, by_client: bool = False, n: int | None = None) -> DataFrame:
+    """Full-history lines of the asked codes, or the newest `n`; `by_client` keeps the asking client's own (scoped) lines."""
     wanted = asked.withColumn("_code", F.upper(strip(F.col("code")))).drop("code").distinct()
     keyed = lines.withColumn("_code", F.upper(strip(F.col("material"))))
     on = ["_code", "client"] if by_client else ["_code"]
     hits = keyed.join(wanted, on).withColumnRenamed("_code", "code")
-    return top_per(hits, ["question_id"], newest_first(), n)
+    return hits if n is None else top_per(hits, ["question_id"], newest_first(), n)
 
 
 def question_codes(questions: DataFrame, known: DataFrame, most: int = 12) -> DataFrame:

@@ -259,12 +259,10 @@ def canonical_products(
 
     # text after 1, 2, … trailing generic words, the fewest stripped that is known
     tail = rf"[{'.,;:|/—_ '}\-]*\s(?:{'|'.join(suffixes)})$"
-    stripped, once = [], F.col("norm")
-    for _ in range(6):
-        once = F.btrim(F.regexp_replace(once, tail, ""), F.lit(" "))
-        stripped.append(once)
+    once = lambda text: F.btrim(F.regexp_replace(text, tail, ""), F.lit(" "))
+    stripped = F.aggregate(F.sequence(F.lit(1), F.size(words)), F.array("norm"), lambda done, _: F.concat(done, F.array(once(F.element_at(done, -1)))))
     cut = (
-        left.select("product", F.posexplode(F.array(*stripped)).alias("n", "norm")).join(keys, "norm")
+        left.select("product", F.posexplode(stripped).alias("n", "norm")).join(keys, "norm")
         .groupBy("product").agg(F.min_by("canonical", F.col("n")).alias("canonical"))
         .withColumn("stage", F.lit("suffix"))
     )

@@ -32,7 +32,7 @@ def missing_schedules(manifest: DataFrame, rows: DataFrame) -> DataFrame:
 
 def license_override(documents: DataFrame) -> DataFrame:
     """Documents with license titles become license agreements without schedules."""
-    hint = F.when(F.col("agreement_type").isNotNull(), F.col("agreement_type")).otherwise(F.substring("first_page", 1, 2000))
+    hint = F.when(F.trim(F.col("agreement_type")) != "", F.col("agreement_type")).otherwise(F.substring("first_page", 1, 2000))
     lic = is_license(hint)
     return documents.withColumn(
         "document_type", F.when(lic, "LicenseAgreement").otherwise(F.col("document_type"))

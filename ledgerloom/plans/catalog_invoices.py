@@ -203,7 +203,7 @@ WITH {ASKED_DOCS}, r AS (
   FROM invoice_core p JOIN asked USING (document))
 SELECT question_id, {LINE_SQL} FROM r WHERE rn <= 2000""")
 def invoice_by_document(t):
-    return inv.invoice_by_document(t.invoice_core, asked_documents(t)).select("question_id", *LINE[1:])
+    return inv.invoice_by_document(t.invoice_core, asked_documents(t), 2000).select("question_id", *LINE[1:])
 
 
 def asked_codes(t):
@@ -243,7 +243,7 @@ WITH {ASKED_CODES}, r AS (
 SELECT question_id, {LINE_SQL} FROM r WHERE rn <= 2000""")
 def invoice_by_material(t):
     asked = asked_codes(t).select("question_id", "code")
-    return inv.invoice_by_material(t.invoice_core, asked).select("question_id", *LINE[1:])
+    return inv.invoice_by_material(t.invoice_core, asked, n=2000).select("question_id", *LINE[1:])
 
 
 @query("invoice_by_material_scoped", f"""
@@ -257,7 +257,7 @@ r AS (
 SELECT question_id, client, {LINE_SQL} FROM r WHERE rn <= 2000""")
 def invoice_by_material_scoped(t):
     asked = asked_codes(t).select("question_id", "code").join(question_countries(t), "question_id")
-    return inv.invoice_by_material(country_lines(t), asked, by_client=True).select("question_id", *LINE)
+    return inv.invoice_by_material(country_lines(t), asked, by_client=True, n=2000).select("question_id", *LINE)
 
 
 def question_countries(t):

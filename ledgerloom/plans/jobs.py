@@ -51,21 +51,25 @@ def billing_report(questions: DataFrame, parties: DataFrame, lines: DataFrame, c
 
 
 def invoice_workbook(clients: DataFrame, questions: DataFrame, lines: DataFrame, parties: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
-    """Everything an invoice question needs, as tables: recent lines, reconciliation, totals, lookups."""
+    """Everything an invoice question needs, as tables: reconciliation, totals and lookups over all lines in scope.
+
+    `recent` is a preview of each client's newest lines; nothing else is derived from it.
+    """
     scope = inv.bridge_names(clients, parties).select("client", "billto")
     recent = inv.invoice_recent(lines, scope)
-    headers, details = inv.invoice_detail(recent)
+    scoped = lines.join(scope.distinct(), "billto")
+    headers, details = inv.invoice_detail(scoped)
     asked = questions.select("question_id", F.explode(invoice_numbers(F.col("text"))).alias("document"))
     found = inv.invoice_by_document(lines, asked)
     wanted = inv.question_codes(questions, codes.select("code")).join(questions.select("question_id", "client"), "question_id")
     sold = inv.resolve_scope(clients, parties)
     return {
         "scope": scope, "recent": recent, "headers": headers, "details": details,
-        "totals": inv.invoice_totals(recent), "codes": inv.invoice_codes(recent), "reconciled": inv.reconcile(codes, recent),
+        "totals": inv.invoice_totals(scoped), "codes": inv.invoice_codes(scoped), "reconciled": inv.reconcile(codes, scoped),
         "documents": found, "missing": inv.missing_documents(asked, lines),
         "code_hits": inv.code_hits(inv.invoice_by_material(lines, wanted.select("question_id", "code")), ("question_id", "code")),
         "billed": inv.billed_or_not(wanted.select("question_id", "client", "code"), lines, sold, parties),
-        "urls": inv.url_registry(recent.select(*lines.columns).unionByName(found.select(*lines.columns))),
+        "urls": inv.url_registry(scoped.select(*lines.columns).unionByName(found.select(*lines.columns))),
     }
 
 

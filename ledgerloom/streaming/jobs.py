@@ -1,7 +1,8 @@
 """Structured Streaming jobs: document intake, usage per window, latest run state.
 
-All three recover from their checkpoint after a lost executor or driver and bound their
-state with a watermark.
+All three recover from their checkpoint after a lost executor or driver. Usage windows bound
+their state with a watermark, intake has none but the file source's own log, and the latest run
+state holds one row per client and agent.
 """
 
 from __future__ import annotations
@@ -18,20 +19,22 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def new_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (path, modificationTime, size) for files that appear in a folder."""
-    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(folder)
+    """A stream of (path, modificationTime, size) for files that appear in a folder, whatever their age."""
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("maxFileAge", "36500d").load(folder)
     return files.select("path", "modificationTime", F.col("length").alias("size"))
 
 
-def intake(documents: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, key: str = "path",
-           time: str = "modificationTime", late: str = "7 days") -> StreamingQuery:
-    """Hands every new document to `process` once; a key seen again within the watermark is dropped.
+def intake(documents: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, key: str = "path") -> StreamingQuery:
+    """Hands every new document to `process` once, however old its modification time is.
 
-    `process` may be called again with the same batch id after a failure, so it should write per batch.
+    The file source remembers the files it has seen; a key that repeats within a batch counts once. `process` may be called again with the same batch id after a failure, so it should write per batch.
     """
-    fresh = documents.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        process(batch.dropDuplicates([key]), batch_id)
+
     return (
-        fresh.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        documents.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 

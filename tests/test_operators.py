@@ -55,7 +55,7 @@ def test_levels_cycles_and_order(spark):
     lv = got[0]
     assert (lv["r"], lv["a"], lv["b"], lv["c"], lv["o"]) == (0, 1, 2, 3, -1)
     assert lv["x"] is None and lv["m"] is None
-    assert lv["d19"] == 20 and lv["d20"] is None  # twenty levels at most
+    assert lv["d19"] == 20 and lv["d24"] == 25  # however deep
 
 
 def _forest(spark, rows, citations, codes=()):
@@ -202,3 +202,41 @@ def test_truncated_reply(spark):
     text = '```json\n{"results": [{"row_id": 1, "code": "A"}, {"row_id": 2, "code": "B"}, {"row_id": 3, "co'
     rows, bad = model_output.parse_model_output(spark.createDataFrame([(text,), ("no",)], "reply string"), "reply", "row_id int, code string", "results")
     assert [(r.row_id, r.code) for r in rows.collect()] == [(1, "A"), (2, "B")] and bad.count() == 1
+
+
+def test_deep_chains_keep_their_levels(spark):
+    from ledgerloom.operators import hierarchy as h
+
+    rows = [(f"k{i}", f"k{i - 1}" if i else None, 0 if i == 0 else None) for i in range(26)] + [("a", "b", None), ("b", "a", None), ("c", "gone", None), ("o", None, -1)]
+    levels = {r.key: r.level for r in h.assign_levels(spark.createDataFrame(rows, "key string, parent_key string, level int")).collect()}
+    assert [levels[f"k{i}"] for i in range(26)] == list(range(26))
+    assert levels["a"] is levels["b"] is levels["c"] is None and levels["o"] == -1
+
+
+def test_any_number_of_generic_words_is_stripped(spark):
+    from ledgerloom.operators import matching
+
+    names = spark.createDataFrame([("ab" + " service" * n,) for n in (1, 6, 8, 15)] + [("zz service",)], "product string")
+    dictionary = spark.createDataFrame([("ab", "AB")], "norm string, canonical string")
+    found = {r["product"]: r.canonical for r in matching.canonical_products(names, dictionary, suffixes=("service",), close=False).collect()}
+    assert found["ab" + " service" * 8] == found["ab" + " service" * 15] == "AB" and found["zz service"] is None
+
+
+def test_close_spelling_does_not_depend_on_the_cut(spark):
+    from ledgerloom.functions.fuzzy import all_scores
+
+    texts, tide = spark.createDataFrame([("abcd",)], "t string"), spark.createDataFrame([("tide",)], "c string")
+    choices = spark.createDataFrame([(f"abcd{c}",) for c in "abcde"], "c string")
+    for chunk in (1, 500):
+        got = [(r.choice, round(r.score, 2)) for r in all_scores(texts, choices, "t", "c", "sequence", 20.0, True, chunk).collect()]
+        assert got == [("abcde", 88.89)]
+    diet = spark.createDataFrame([("diet",)], "t string")
+    assert [r.score for r in all_scores(diet, tide, "t", "c", "sequence", 20.0, True).collect()] == [25.0]
+
+
+def test_lookups_read_every_line(spark):
+    from ledgerloom.operators import invoices as inv
+
+    lines = spark.range(3000).selectExpr("cast(id as string) as document", "'X1' as material")
+    asked = spark.createDataFrame([(1, "x1")], "question_id int, code string")
+    assert inv.invoice_by_material(lines, asked).count() == 3000

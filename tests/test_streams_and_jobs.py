@@ -1,6 +1,7 @@
 """Streams run to completion on files; registered queries keep their contract."""
 
 import inspect
+import os
 import re
 from pathlib import Path
 
@@ -48,10 +49,12 @@ def test_intake_hands_over_once(spark, tmp_path):
     def process(batch, _):
         seen.extend(r.path.rsplit("/", 1)[-1] for r in batch.select("path").collect())
 
-    for name in ("a.pdf", "b.pdf"):
+    for name in ("a.pdf", "b.pdf", "old.pdf"):
         (folder / name).write_text("x")
+        if name == "old.pdf":
+            os.utime(folder / name, (0, 0))  # copied with its old time
         st.intake(st.new_documents(spark, str(folder)), process, chk).awaitTermination()
-    assert seen == ["a.pdf", "b.pdf"]
+    assert seen == ["a.pdf", "b.pdf", "old.pdf"]
 
 
 def test_incremental_run(spark, tmp_path):
