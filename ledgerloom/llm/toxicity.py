@@ -187,7 +187,9 @@ def _model(labelled: DataFrame) -> np.ndarray:
 
 def _labelled(documents: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL").where(~held_out), "doc_id")
+    marks = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").where(~held_out)
+    # The sample is drawn before texts are fetched: at most TRAIN_ROWS labels are broadcast, no other text moves.
+    return docs.join(F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "toxic").limit(TRAIN_ROWS)), "doc_id")
 
 
 def score_held_out(documents: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
