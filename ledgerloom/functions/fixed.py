@@ -40,7 +40,7 @@ PARTY_SUFFIXES = (
 PARTY_GENERIC = (
     "bank", "banking", "banks", "savings", "saving", "loan", "loans", "association", "associations", "assn",
     "federal", "national", "trust", "credit", "union", "co", "company", "companies", "financial",
-    "the", "and", "of", "by", "with", "for", "an", "a", "n", "na", "fsb", "sb", "fairfield", "nj",
+    "the", "and", "of", "by", "with", "for", "an", "a", "n", "na", "fsb", "sb",
 )
 
 # ---- document codes
@@ -206,7 +206,6 @@ PRICE_STATUSES = (
     "no charge", "nocharge", "free", "complimentary", "pass through", "pass-through",
 )
 PASS_THROUGH_WORDS = ("postage", "travel", "pass through", "pass-through", "third party", "third-party")
-MANUAL_CODES = ("CUPR0754", "CUPRREPORTFLAT")
 
 # ---- escalation
 ESCALATION_DATE = r"\b(\d{1,2}[_/]\d{1,2}[_/]\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4}|[A-Za-z]+\s+\d{1,2},\s*\d{4})\b"
@@ -219,7 +218,7 @@ MONTH_NAMES = (
 # ---- contract types: spelling -> canonical type
 TYPE_NAMES = (
     ("MSA", ("msa", "master agreement", "master service agreement", "master services agreement",
-             "relationship agreement", "network membership agreement", "accel network membership agreement",
+             "relationship agreement", "network membership agreement",
              "membership agreement", "amended and restated", "amended and restated agreement")),
     ("Amendment", ("amendment", "addendum", "first amendment", "second amendment", "third amendment",
                    "fourth amendment", "fifth amendment", "sixth amendment", "seventh amendment", "eighth amendment",

@@ -50,10 +50,10 @@ def item_category(frequency: Column) -> Column:
     )
 
 
-def cpi_eligible(description: Column, category: Column) -> Column:
-    """Default eligibility of a dictionary row."""
+def cpi_eligible(description: Column, category: Column, vendor: str = "vendor") -> Column:
+    """Default eligibility of a dictionary row; fees passed through or named after the vendor have none."""
     d = F.upper(F.coalesce(description, F.lit("")))
-    words = [w.upper() for w in (*fixed.PASS_THROUGH_WORDS, "vendor")]
+    words = [w.upper() for w in (*fixed.PASS_THROUGH_WORDS, vendor)]
     no = (F.upper(F.coalesce(category, F.lit(""))) == "ZINL") | contains_any(d, words)
     return F.when(no, "No").otherwise("Yes")
 
@@ -82,12 +82,12 @@ def group_dictionary(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def dictionary_pick(matches: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
+def dictionary_pick(matches: DataFrame, primary: DataFrame, fallback: DataFrame, width: int | None = None) -> DataFrame:
     """Adds the dictionary row behind each matched code.
 
     Of the primary rows of the code, the one whose description was picked, else the first;
     codes only the fallback knows take the picked or the fallback description; everything
-    else keeps the item text, cut to 80 characters.
+    else keeps the item text, with `width` cut to that many characters.
     """
     pick = F.upper(strip(F.coalesce("picked_description", F.lit(""))))
     rows = primary.where(strip(F.col("code")) != "").select(
@@ -99,7 +99,9 @@ def dictionary_pick(matches: DataFrame, primary: DataFrame, fallback: DataFrame)
     exact = rows.groupBy("code", "_desc_key").agg(F.min_by("row", F.col("row.position")).alias("_exact"))
     master = fallback.groupBy("code").agg(F.min_by("description", F.col("position")).alias("_fallback"))
     raw = strip(F.coalesce("item", F.lit("")))
-    short = F.when(F.length(raw) > 80, F.concat(F.rtrim(F.substring(raw, 1, 77)), F.lit("..."))).otherwise(raw)
+    short = raw
+    if width:
+        short = F.when(F.length(raw) > width, F.concat(F.rtrim(F.substring(raw, 1, width - 3)), F.lit("..."))).otherwise(raw)
     joined = (
         matches.withColumn("_desc_key", F.when(pick != "", pick))
         .join(first, "code", "left")
@@ -119,8 +121,11 @@ def dictionary_pick(matches: DataFrame, primary: DataFrame, fallback: DataFrame)
     )
 
 
-def load_rows(picked: DataFrame) -> DataFrame:
-    """One load row per item; input is `dictionary_pick` output with item fields and `signing_date`."""
+def load_rows(picked: DataFrame, manual_codes: tuple[str, ...] = ()) -> DataFrame:
+    """One load row per item; input is `dictionary_pick` output with item fields and `signing_date`.
+
+    Codes of `manual_codes` are flagged for manual work, as minimum fees are.
+    """
     number, status = parse_price(F.col("price"))
     fee = minimum_fee(F.col("pricing_condition"))
     has_code = F.coalesce(F.col("code"), F.lit("")) != ""
@@ -150,7 +155,7 @@ def load_rows(picked: DataFrame) -> DataFrame:
         F.when(one_time, start).alias("bill_plan_date"),
         F.when(F.col("checkbox"), "Picked").when(~F.col("checkbox"), "Not Picked").otherwise("Does Not Exist").alias("checkbox"),
         status.alias("price_status"),
-        (fee.isNotNull() | F.coalesce(F.col("code").isin(*fixed.MANUAL_CODES), F.lit(False))).alias("manual_flag"),
+        (fee.isNotNull() | F.coalesce(F.col("code").isin(*manual_codes), F.lit(False))).alias("manual_flag"),
         F.when(~has_code, "no match")
         .when(~F.col("checkbox"), "not picked")
         .when(F.col("source_dict") == "fallback", "fallback")

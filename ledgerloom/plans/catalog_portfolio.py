@@ -144,7 +144,7 @@ def hierarchy_listing(t):
 
 @query("contract_profile", """
 SELECT m.client, m.filename, coalesce(trim(m.contract_type), '') AS contract_type, coalesce(cast(m.effective_date AS varchar), '') AS effective_date,
-  coalesce(array_to_string(m.parties[1:3], ' / '), '') AS parties, coalesce(left(CASE WHEN m.o_orderkey % 2 = 0 THEN repeat('summary ', 100) END, 600), '') AS summary FROM contract_meta m""")
+  coalesce(array_to_string(m.parties, ' / '), '') AS parties, coalesce(CASE WHEN m.o_orderkey % 2 = 0 THEN repeat('summary ', 100) END, '') AS summary FROM contract_meta m""")
 def contract_profile(t):
     m = t.contract_meta
     summaries = m.select("client", "filename", F.when(F.col("o_orderkey") % 2 == 0, F.repeat(F.lit("summary "), 100)).alias("summary"))

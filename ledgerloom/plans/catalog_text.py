@@ -314,7 +314,7 @@ def conform(t):
 @query("knowledge_sections", r"""
 WITH k AS (SELECT doc_id, concat(chr(10), '## 1. ', replace(text, chr(10), concat(chr(10), '## 8. '))) AS t FROM documents),
 s AS (SELECT doc_id AS doc, unnest(string_split(t, concat(chr(10), '## '))) AS part, generate_subscripts(string_split(t, concat(chr(10), '## ')), 1) - 1 AS position FROM k)
-SELECT doc, '8' AS number, position, left(concat('## ', part), 2500) AS section FROM s WHERE part LIKE '8. %'""")
+SELECT doc, '8' AS number, position, concat('## ', part) AS section FROM s WHERE part LIKE '8. %'""")
 def knowledge_sections(t):
     text = F.concat(F.lit("\n## 1. "), F.regexp_replace("text", "\n", "\n## 8. "))
     return src.knowledge_sections(t.documents.select(F.col("doc_id").alias("doc"), text.alias("text")), ("8", "9"))
@@ -332,7 +332,7 @@ def drop_placeholders(t):
 
 @query("failure_summary", """
 WITH m AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'empty reply' WHEN 1 THEN concat('rate limit ', o_orderkey % 2) ELSE concat('bad ', repeat('x', 240)) END AS r FROM contracts)
-SELECT CASE WHEN length(r) > 200 THEN left(r, 200) || '…' ELSE r END AS reason, count(*) AS chunks FROM m GROUP BY r""")
+SELECT r AS reason, count(*) AS chunks FROM m GROUP BY r""")
 def failure_summary(t):
     k = F.col("o_orderkey")
     why = F.when(k % 3 == 0, "empty reply").when(k % 3 == 1, F.concat(F.lit("rate limit "), k % 2)).otherwise(F.concat(F.lit("bad "), F.repeat(F.lit("x"), 240)))

@@ -118,11 +118,12 @@ def load_roster(rows: DataFrame, column: str = "name") -> DataFrame:
         (F.length("norm") >= 3) & ~F.rlike(F.replace("norm", F.lit(" "), F.lit("")), F.lit(r"^\d+$"))).distinct()
 
 
-def knowledge_sections(texts: DataFrame, numbers: tuple[str, ...], most: int = 2500) -> DataFrame:
-    """(doc, number, position, section): `## N.` sections with a listed number, the report keeps `most` characters."""
+def knowledge_sections(texts: DataFrame, numbers: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """(doc, number, position, section): whole `## N.` sections with a listed number; with `most`, their first characters."""
     parts = texts.select("doc", F.posexplode(F.split("text", r"\n(?=## \d+\.)")).alias("position", "section"))
     numbered = parts.withColumn("number", F.regexp_extract("section", r"^## (\d+)\.", 1))
-    return numbered.where(F.col("number").isin(*numbers)).withColumn("section", F.substring("section", 1, most))
+    kept = numbered.where(F.col("number").isin(*numbers))
+    return kept.withColumn("section", F.substring("section", 1, most)) if most else kept
 
 
 def null_hygiene(df: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ RUN_META = "client string, stage string, status string, cutoff_year int, ran_at
 
 
 def write_stage(df: DataFrame, path: str, by: str = "client", fmt: str = "parquet") -> None:
-    """Replaces the written clients' partitions and leaves the others; zero rows still leave a schema."""
+    """Replaces the written clients' partitions and leaves the others; zero rows still leave a schema.
+
+    Rows are rebalanced by client first: few files a client, and a large client is split over tasks.
+    """
     (
-        df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).save(path)
+        df.hint("rebalance", by).write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).save(path)
     )
 
 
