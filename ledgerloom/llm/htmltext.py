@@ -12,7 +12,7 @@ weights (`WEIGHT_BYTES`, whatever the corpus) go to the tasks. Pages are read wh
 of an Arrow batch at a time, grouped by their number of blocks.
 
 A null or empty html has no blocks and gives an empty text. Broken markup is read as browsers do: what is left open is
-closed, a tag that never ends is dropped with what follows. Repeated rows are labelled each; an empty table gives no rows.
+closed, a tag whose quote never closes ends at its next >, a tag that never ends is dropped with what follows. Repeated rows are labelled each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title select svg object canvas head".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+_OPEN_QUOTE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # a quote that never closes: the tag ends where it seems to
 _MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Za-z]+")
@@ -110,13 +111,9 @@ def parse(page: str | None) -> list[Block]:
             parts.append("<")
             at = lt + 1
             continue
-        found = _TAG.match(page, lt) if last_end > lt else None
+        found = (_TAG.match(page, lt) or _OPEN_QUOTE_TAG.match(page, lt)) if last_end > lt else None
         if not found:
-            end = page.find(">", lt)
-            if end < 0:
-                break
-            at = end + 1  # a quote that never closes: the tag ends where it seems to
-            continue
+            break
         closing, tag, marks = found.group(1), found.group(2).lower(), found.group(3)
         at = found.end()
         if closing:
