@@ -66,9 +66,9 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value that is at least x (n if there is none), and whether it is x."""
-        top = (x >> _U(self.bits)).astype(np.int64)
-        beyond = top >= self.buckets
-        top = np.minimum(top, self.buckets - 1)
+        top = x >> _U(self.bits)
+        beyond = top >= _U(self.buckets)
+        top = np.minimum(top, _U(self.buckets - 1)).astype(np.int64)
         start = np.where(top > 0, self._select(np.maximum(top - 1, 0), self.zeros, 255) - np.maximum(top - 1, 0), 0)
         stop = self._select(top, self.zeros, 255) - top
         start, stop = np.where(beyond, self.n, start), np.where(beyond, self.n, stop)

@@ -15,7 +15,8 @@ one byte each, all in memory-mapped arrays. Each requested bigram is looked up b
 range; one byte goes back. The buffer's texts, as word numbers, meet the answers and are added up. So texts never
 travel more than once, a bigram that a third of all rows share costs one entry a buffer, and no shard holds more than
 its part of the vocabulary. Contexts with over 1 / (`HEAVY` * shards) of all tokens are split over the shards by their
-successors; their exact counts are a table of at most HEAVY * shards rows, and n(v) is estimated from the shard's slice.
+successors; their training counts are a table of at most HEAVY * shards rows. Each bigram of such a context lies in one
+shard, so n(v) is the sum of what the shards counted, and a text's back-off weights for it are set when answers meet texts.
 
 Words are 64-bit hashes; successors are told apart within a context by 40 bits. Null texts count as empty and have the
 end token only; a null doc_id is learnt from. Repeated rows are counted and scored each. An empty table gives no rows.
@@ -68,6 +69,10 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(counts)
 
 
+def _back_codes(different: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return (_SEEN_CODES + np.clip(np.rint(-np.log10(DISCOUNT * different / total) / _BACK_STEP), 0, 126)).astype(np.uint8)
+
+
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (mix(hashes ^ _U(0xA5A5A5A5)) % _U(shards)).astype(np.int64)
 
@@ -185,7 +190,16 @@ class Trie:
         return out
 
 
-def _answers(heavy_words, heavy_counts, shards: int):
+_SPREAD = pa.list_(pa.struct([("word", pa.int64()), ("successors", pa.int64())]))
+_ANSWER = "buffer bigint, shard int, codes binary, times binary, spread array<struct<word:bigint,successors:bigint>>"
+
+
+def _answers(heavy_words, heavy_counts):
+    """Codes of the requested bigrams and counts of the contexts; a shard's first row has its successors of split contexts.
+
+    Counts and back-off codes of split contexts are those of a slice here; `_score` puts the whole ones in their place.
+    """
+
     def solve(name: int, shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         contexts = [unpack(r[1]) for r in rows]
         sizes = [unpack(r[2]).astype(np.int64) for r in rows]
@@ -203,14 +217,15 @@ def _answers(heavy_words, heavy_counts, shards: int):
         pointers = np.append(pointer, kept.sum()).astype(np.int64)
         seen_count, different = count[kept], np.diff(pointers).astype(np.float64)
         total = np.add.reduceat(seen_count, pointers[:-1]).astype(np.float64) if len(level) else np.zeros(0)
+        spread = []
         if len(heavy_words.value) and len(level):
             spot = np.minimum(np.searchsorted(heavy_words.value, level), len(heavy_words.value) - 1)
             heavy = heavy_words.value[spot] == level
             total = np.where(heavy, heavy_counts.value[spot], total)
-            different = np.where(heavy, np.minimum(different * shards, total), different)
+            spread = [{"word": w, "successors": int(n)} for w, n in zip(level[heavy].view(np.int64).tolist(), different[heavy].tolist())]
         owner = np.repeat(np.arange(len(level)), np.diff(pointers))
         seen = np.clip(np.rint(-np.log10((seen_count - DISCOUNT) / total[owner]) / _SEEN_STEP), 0, _SEEN_CODES - 1).astype(np.uint8)
-        back = (_SEEN_CODES + np.clip(np.rint(-np.log10(DISCOUNT * different / total) / _BACK_STEP), 0, 126)).astype(np.uint8)
+        back = _back_codes(different, total)
         trie = Trie(level, pointers, successor[kept], seen, back)
         place, known = trie.context(context)
         code = np.empty(len(order), np.uint8)
@@ -220,7 +235,8 @@ def _answers(heavy_words, heavy_counts, shards: int):
             place, known = trie.context(asked)
             times = np.where(known, total[np.minimum(place, max(len(total) - 1, 0))] if len(total) else 0, 0).astype(np.uint64)
             more = int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([buffer]), pa.array([shard], pa.int32()), pa.array([pack(code[at : at + more])], pa.binary()), pa.array([pack(times)], pa.binary())], ["buffer", "shard", "codes", "times"])
+            blobs = pa.array([pack(code[at : at + more])], pa.binary()), pa.array([pack(times)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([buffer]), pa.array([shard], pa.int32()), *blobs, pa.array([None if at else spread], _SPREAD)], ["buffer", "shard", "codes", "times", "spread"])
             at += more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,21 +267,22 @@ def _texts(shards: int, heavy_words):
             buffer = _Buffer(hashes, counts, shards)
             heavy = np.flatnonzero(np.isin(buffer.words, heavy_words.value))
             last = np.searchsorted(buffer.words[buffer.edges[e := _shard_of(np.array([END]), shards)[0]] : buffer.edges[e + 1]], END) + buffer.edges[e]
+            place = np.searchsorted(heavy_words.value, buffer.words[heavy])
             ids = table.select(["doc_id", "held_out"]).combine_chunks().to_batches()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids[0].schema) as stream:
                 stream.write_batch(ids[0])
-            rows = [(-2, pack(buffer.edges), pack(heavy), pack(np.array([last, len(buffer.words)]))), (-1, pack(buffer.ids), pack(counts), sink.getvalue().to_pybytes())]
+            rows = [(-2, pack(buffer.edges), pack(heavy), pack(np.append([last, len(buffer.words)], place))), (-1, pack(buffer.ids), pack(counts), sink.getvalue().to_pybytes())]
             for s, *blobs in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([s], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["buffer", "shard", "a", "b", "c"])
 
     return run
 
 
-def _score(tokens: int, vocabulary: int, ends: int):
+def _score(tokens: int, vocabulary: int, ends: int, heavy_counts, heavy_back):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         parts = {r[0]: r[1:] for r in rows}
-        edges, heavy, (last, n_words) = (unpack(b).astype(np.int64) for b in parts[-2])
+        edges, heavy, (last, n_words, *place) = (unpack(b).astype(np.int64) for b in parts[-2])
         ids, counts = (unpack(b).astype(np.int64) for b in parts[-1][:2])
         docs = pa.ipc.open_stream(parts[-1][2]).read_all()
         keys, row = _Buffer.pairs(ids, counts)
@@ -281,6 +298,12 @@ def _score(tokens: int, vocabulary: int, ends: int):
             times[context[heads]] = unpack(parts[s][1])
             at += len(context)
         times[last] = ends
+        if len(heavy):
+            times[heavy] = heavy_counts.value[place]
+            whole = np.full(n_words, -1, np.int64)
+            whole[heavy] = heavy_back.value[place]
+            whole = whole[different >> 32]
+            code = np.where((whole >= 0) & (code >= _SEEN_CODES), whole, code)
         unigram = np.log10(times + 1.0)
         token = keys & 0xFFFFFFFF
         base = np.bincount(row, weights=unigram[token], minlength=len(counts)) - counts * np.log10(tokens + vocabulary + 1.0)
@@ -332,8 +355,18 @@ def score_documents(documents: DataFrame, held_out: Column, heavy: int = HEAVY,
     heavy_counts = spark.sparkContext.broadcast(np.array([n for _, n in split], np.float64))
     requests = docs.select("row", "held_out", "text").mapInArrow(_requests(shards, heavy_words), _REQUEST)
     dealt = requests.repartition(shards, "shard").sortWithinPartitions("shard", "buffer")
-    answers = written(dealt.mapInArrow(_answers(heavy_words, heavy_counts, shards), "buffer bigint, shard int, codes binary, times binary"), "answers")
+    answers = written(dealt.mapInArrow(_answers(heavy_words, heavy_counts), _ANSWER), "answers")
+    spread = {}
+    if split:
+        # At most one row a split context.
+        summed = answers.select(F.explode("spread").alias("s")).groupBy("s.word").agg(F.sum("s.successors").alias("successors"))
+        spread = {np.int64(r.word).view(np.uint64): r.successors for r in summed.collect()}
+    different = np.array([spread.get(w, 0) for w, _ in split], np.float64)
+    learnt = heavy_counts.value > 0
+    back = np.full(len(split), _UNSEEN, np.int64)
+    back[learnt] = _back_codes(different[learnt], heavy_counts.value[learnt])
+    heavy_back = spark.sparkContext.broadcast(back)
     texts = docs.mapInArrow(_texts(shards, heavy_words), _PART)
     both = texts.unionByName(answers.select("buffer", "shard", F.col("codes").alias("a"), F.col("times").alias("b"), F.lit(None).cast("binary").alias("c")))
     result = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return both.repartition(shards, "buffer").sortWithinPartitions("buffer", "shard").mapInArrow(_score(sums["tokens"] or 0, sums["vocabulary"] or 0, sums["ends"] or 0), result)
+    return both.repartition(shards, "buffer").sortWithinPartitions("buffer", "shard").mapInArrow(_score(sums["tokens"] or 0, sums["vocabulary"] or 0, sums["ends"] or 0, heavy_counts, heavy_back), result)

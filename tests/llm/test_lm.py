@@ -89,3 +89,13 @@ def test_registered_query_against_brute_force(spark):
     compare(got, sorted(slow(rows)), 0.15)
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_split_contexts_are_exact_in_every_shard(spark, others):
+    """A hot word with few successors, and held-out copies where others follow it: slices without a learnt bigram of it."""
+    rows = [(i, "hot a hot b", False) for i in range(100)] + [(200, " ".join(f"hot new{i}" for i in range(30)), True), (201, "hot odd", True)]
+    rows += [(300 + i, f"c{i} d{i} e{i}", False) for i in range(others)]
+    df = written(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3), "docs")
+    got = sorted(tuple(r) for r in lm.score_documents(df, F.col("held"), 1).collect())
+    compare(got, sorted(slow(rows)), 0.04)
