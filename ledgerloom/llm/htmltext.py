@@ -12,7 +12,9 @@ weights (`WEIGHT_BYTES`, whatever the corpus) go to the tasks. Pages are read wh
 of an Arrow batch at a time, grouped by their number of blocks.
 
 A null or empty html has no blocks and gives an empty text. Broken markup is read as browsers do: what is left open is
-closed, a tag whose quote never closes ends at its next >, a tag that never ends is dropped with what follows. Repeated rows are labelled each; an empty table gives no rows.
+closed, a tag whose quote never closes ends at its next >, a tag that never ends is dropped with what follows. What
+stands between <svg>, <object>, <canvas> or <select> and its own end tag is not content; where that tag is missing, what
+follows is labelled like any other block. Repeated rows are labelled each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,11 +43,13 @@ WORDS_READ = 40  # of a block's words, spread evenly over it, go into its vector
 # Elements of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title select svg object canvas head".split())
+RAW = frozenset("script style noscript template iframe textarea title head".split())
+EMBEDDED = frozenset("select svg object canvas".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _OPEN_QUOTE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # a quote that never closes: the tag ends where it seems to
 _MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_VALUE_WITH_SLASH = re.compile(r"=\s*[^\s\"'=]+/$")  # the / belongs to an unquoted value and closes nothing
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Za-z]+")
 _PARAGRAPH_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -68,7 +72,9 @@ def parse(page: str | None) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    links = linked = 0
+    links = linked = svgs = 0
+    opened: list[tuple[int, int]] = []  # of open embedded elements: place on the stack, blocks before them
+    hidden: list[tuple[int, int]] = []  # ranges of blocks within closed embedded elements
 
     def flush() -> None:
         nonlocal linked
@@ -78,12 +84,21 @@ def parse(page: str | None) -> list[Block]:
         parts.clear()
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal links
+    def close(upto: int, ended: bool = False) -> None:
+        nonlocal links, svgs
         if any(tag not in INLINE for tag, _ in stack[upto:]):
             flush()
         links -= sum(tag == "a" for tag, _ in stack[upto:])
+        svgs -= sum(tag == "svg" for tag, _ in stack[upto:])
         del stack[upto:]
+        while opened and opened[-1][0] > upto:
+            opened.pop()
+        if opened and opened[-1][0] == upto:
+            _, first = opened.pop()
+            if ended:
+                while hidden and hidden[-1][0] >= first:
+                    hidden.pop()
+                hidden.append((first, len(blocks)))
 
     at, last_end = 0, page.rfind(">")
     while at < len(page):
@@ -119,7 +134,11 @@ def parse(page: str | None) -> list[Block]:
         if closing:
             spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if spot >= 0:
-                close(spot)
+                close(spot, ended=True)
+            continue
+        if (svgs or tag == "svg") and marks.endswith("/") and not _VALUE_WITH_SLASH.search(marks):
+            if tag not in INLINE:
+                flush()
             continue
         if tag in RAW:
             if tag not in ("title", "head"):
@@ -151,8 +170,15 @@ def parse(page: str | None) -> list[Block]:
                 names += [f"{tag if key.lower() == 'role' else ''}.{w.lower()}" for v in values for w in _NAME.findall(v)][:12]
         stack.append((tag, tuple(names) if len(stack) < 64 else ()))
         links += tag == "a"
+        svgs += tag == "svg"
+        if tag in EMBEDDED:
+            opened.append((len(stack) - 1, len(blocks)))
     flush()
-    return blocks
+    kept, at = [], 0
+    for low, high in hidden:
+        kept += blocks[at:low]
+        at = high
+    return kept + blocks[at:] if hidden else blocks
 
 
 def describe(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:

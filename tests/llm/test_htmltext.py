@@ -70,3 +70,14 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, None, 1), (2, "u", "", 2), (None, "u", "<script>", 3)], "page_id long, url string, html string, text int")
     assert [r.text for r in htmltext.extract(df).collect()] == ["", "", ""]
     assert htmltext.extract(df.where("false")).count() == 0
+
+
+def test_embedded_elements_lose_no_later_block():
+    for tag in ("svg", "object", "canvas", "select"):
+        assert texts(f"<p>a</p><{tag} x=1><b>no</b><p>no</p></{tag}><p>b") == ["a", "b"]
+        assert texts(f"<div><p>a</p><{tag}></div><p>b</p><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{tag}><p>b</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>c</p>") == ["a", "b", "c"]
+        htmltext.parse(f"<{tag}>x" * 3000 + f"</{tag}>" * 3000)
+    assert texts("<p>a</p><svg class='icon'/><p>b</p><svg/><p>c</p><svg><title/><style/><path d=''/>no</svg><p>d</p>") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><svg class=i/>no</svg><p>b") == ["a", "b"]
+    assert texts("<p>a</p><textarea><p>no</p></textarea><iframe><p>no</p></iframe><p>b") == ["a", "b"]
