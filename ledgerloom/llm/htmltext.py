@@ -1,8 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes a sequence of blocks, the texts between block-level tags. Each block has vectors of its tag path (tag
-names and the words of class, id and role, hashed) and of its words (hashed), and a few numbers (length, share of link
-text, place). A bidirectional LSTM reads the sequence both ways, so every block is labelled with the whole page as
+names and the words of class, id and role, hashed) and of its words (hashed), over all names and all words, and a few
+numbers (length, share of link text, place). Open elements form a tree, so a path's sum is its parent's and its own names'. A bidirectional LSTM reads the sequence both ways, so every block is labelled with the whole page as
 context. The blocks labelled as content are joined.
 
 The LSTM is trained in numpy, in one task, on `LAYOUTS` pages that are put together from layouts (`_layout`: the usual
@@ -38,7 +38,6 @@ LAYOUTS = 400
 EPOCHS = 5
 HIDDEN, VECTOR, PATHS, WORDS = 24, 16, 2048, 1024
 NUMBERS = 6
-WORDS_READ = 40  # of a block's words, spread evenly over it, go into its vector; the text itself is never cut
 
 # Elements of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -59,18 +58,34 @@ def _bucket(name: str, size: int) -> int:
     return zlib.crc32(name.encode()) % size
 
 
+class Element:
+    __slots__ = ("tag", "names", "parent")
+
+    def __init__(self, tag: str, names: list[str], parent: Element | None):
+        self.tag, self.names, self.parent = tag, names, parent
+
+
 class Block:
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "element", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, element: Element | None, linked: int):
+        self.text, self.element, self.linked = text, element, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The names of all open elements, outermost first."""
+        levels, element = [], self.element
+        while element:
+            levels.append(element.names)
+            element = element.parent
+        return tuple(n for names in reversed(levels) for n in names)
 
 
 def parse(page: str | None) -> list[Block]:
     """The blocks of a page in order, without raw elements; time is linear in the page."""
     page = page or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
     parts: list[str] = []
     links = linked = svgs = 0
     opened: list[tuple[int, int]] = []  # of open embedded elements: place on the stack, blocks before them
@@ -80,16 +95,16 @@ def parse(page: str | None) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            blocks.append(Block(text, tuple(n for _, names in stack for n in names), linked))
+            blocks.append(Block(text, stack[-1] if stack else None, linked))
         parts.clear()
         linked = 0
 
     def close(upto: int, ended: bool = False) -> None:
         nonlocal links, svgs
-        if any(tag not in INLINE for tag, _ in stack[upto:]):
+        if any(e.tag not in INLINE for e in stack[upto:]):
             flush()
-        links -= sum(tag == "a" for tag, _ in stack[upto:])
-        svgs -= sum(tag == "svg" for tag, _ in stack[upto:])
+        links -= sum(e.tag == "a" for e in stack[upto:])
+        svgs -= sum(e.tag == "svg" for e in stack[upto:])
         del stack[upto:]
         while opened and opened[-1][0] > upto:
             opened.pop()
@@ -132,7 +147,7 @@ def parse(page: str | None) -> list[Block]:
         closing, tag, marks = found.group(1), found.group(2).lower(), found.group(3)
         at = found.end()
         if closing:
-            spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
             if spot >= 0:
                 close(spot, ended=True)
             continue
@@ -157,18 +172,18 @@ def parse(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
             if tag in _PARAGRAPH_ENDS:
-                spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in ("div", "article", "section", "td", "body", "li")), -1)
-                if spot >= 0 and stack[spot][0] == "p":
+                spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p" or stack[i].tag in ("div", "article", "section", "td", "body", "li")), -1)
+                if spot >= 0 and stack[spot].tag == "p":
                     close(spot)
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] in ("ul", "ol", "dl", "table")), -1)
-                if spot >= 0 and stack[spot][0] == tag:
+                spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag or stack[i].tag in ("ul", "ol", "dl", "table")), -1)
+                if spot >= 0 and stack[spot].tag == tag:
                     close(spot)
         names = [tag]
         if "=" in marks:
             for key, *values in _MARK.findall(marks):
-                names += [f"{tag if key.lower() == 'role' else ''}.{w.lower()}" for v in values for w in _NAME.findall(v)][:12]
-        stack.append((tag, tuple(names) if len(stack) < 64 else ()))
+                names += [f"{tag if key.lower() == 'role' else ''}.{w.lower()}" for v in values for w in _NAME.findall(v)]
+        stack.append(Element(tag, names, stack[-1] if stack else None))
         links += tag == "a"
         svgs += tag == "svg"
         if tag in EMBEDDED:
@@ -181,15 +196,81 @@ def parse(page: str | None) -> list[Block]:
     return kept + blocks[at:] if hidden else blocks
 
 
-def describe(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+class Paths:
+    """The elements above a page's blocks, parents first: buckets of their names, and the element of each block.
+
+    Sums over n names are divided by sqrt(n), so that one telling name is still heard among many that only arrange.
+    """
+
+    def __init__(self, blocks: list[Block]):
+        place: dict[Element | None, int] = {}
+        names, self.parents, known, at = [], [], [], []
+        for block in blocks:
+            new, element = [], block.element
+            while element and element not in place:
+                new.append(element)
+                element = element.parent
+            for element in reversed(new):
+                place[element] = len(names)
+                up = place[element.parent] if element.parent else -1
+                names.append(element.names)
+                self.parents.append(up)
+                known.append(len(element.names) + (known[up] if up >= 0 else 0))
+            if not block.element and None not in place:
+                place[None] = len(names)  # under no element: bucket 0
+                names.append([])
+                self.parents.append(-1)
+                known.append(1)
+            at.append(place[block.element])
+        self.at, self.scale = np.array(at, np.int64), np.sqrt(np.array(known, np.float32))
+        self.sizes = np.array([max(1, len(n)) for n in names])
+        self.buckets = np.array([x for n in names for x in ([_bucket(w, PATHS) for w in n] or [0])])
+        self.inner = [(i, up) for i, up in enumerate(self.parents) if up >= 0]
+
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(table[self.buckets], np.cumsum(self.sizes) - self.sizes, axis=0)
+        for i, up in self.inner:
+            sums[i] += sums[up]
+        return sums[self.at] / self.scale[self.at][:, None]
+
+    def add_gradient(self, out: np.ndarray, part: np.ndarray) -> None:
+        sums = np.zeros((len(self.sizes), part.shape[1]), part.dtype)
+        np.add.at(sums, self.at, part / self.scale[self.at][:, None])
+        for i, up in reversed(self.inner):
+            sums[up] += sums[i]
+        np.add.at(out, self.buckets, np.repeat(sums, self.sizes, axis=0))
+
+
+class Words:
+    """Buckets of all words of a page's blocks with their weights, which add up to one in each block."""
+
+    def __init__(self, texts: list[list[str]]):
+        buckets, weights = [], []
+        for found in texts:
+            part = np.array([_bucket(w, WORDS) for w in found])
+            counts = np.ones(len(part))
+            if len(part) > WORDS:
+                part, counts = np.unique(part, return_counts=True)
+            buckets.append(part)
+            weights.append(counts / len(found))
+        self.sizes = np.array([len(b) for b in buckets])
+        self.buckets, self.weights = np.concatenate(buckets), np.concatenate(weights)[:, None].astype(np.float32)
+
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(table[self.buckets] * self.weights, np.cumsum(self.sizes) - self.sizes, axis=0)
+
+    def add_gradient(self, out: np.ndarray, part: np.ndarray) -> None:
+        np.add.at(out, self.buckets, np.repeat(part, self.sizes, axis=0) * self.weights)
+
+
+def describe(blocks: list[Block]) -> tuple[Paths, Words, np.ndarray]:
     """Path buckets, word buckets and numbers of every block."""
-    paths, words, numbers = [], [], np.zeros((len(blocks), NUMBERS), np.float32)
+    texts, numbers = [], np.zeros((len(blocks), NUMBERS), np.float32)
     for i, block in enumerate(blocks):
-        paths.append(np.array([_bucket(n, PATHS) for n in block.path[-24:]] or [0]))
         found = block.text.lower().split()
-        words.append(np.array([_bucket(w, WORDS) for w in found[:: max(1, len(found) // WORDS_READ)]]))
+        texts.append(found)
         numbers[i] = (np.log1p(len(found)) / 5, min(1.0, block.linked / max(1, len(block.text))), i / len(blocks), block.text[-1] in ".!?\"”", np.log1p(len(blocks)) / 5, block.text[0].isupper())
-    return paths, words, numbers
+    return Paths(blocks), Words(texts), numbers
 
 
 class Labeller:
@@ -214,13 +295,8 @@ class Labeller:
             for side in ("left", "right"):
                 self.p[f"{side}_b"][HIDDEN : 2 * HIDDEN] = 1
 
-    @staticmethod
-    def _mean(table: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(x) for x in lists])
-        return np.add.reduceat(table[np.concatenate(lists)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-
-    def inputs(self, paths, words, numbers) -> np.ndarray:
-        return np.hstack([self._mean(self.p["path"], paths), self._mean(self.p["word"], words), numbers]).astype(np.float32)
+    def inputs(self, paths: Paths, words: Words, numbers: np.ndarray) -> np.ndarray:
+        return np.hstack([paths.vectors(self.p["path"]), words.vectors(self.p["word"]), numbers]).astype(np.float32)
 
     def _run(self, side: str, x: np.ndarray, keep: bool):
         """Hidden states of (steps, pages, width) inputs; what the way back needs, if asked for."""
@@ -277,9 +353,8 @@ class Labeller:
             grad.p[f"{side}_b"][:] = dz.sum(axis=0)
             back = dz @ w[:width].T
             dx += back if side == "left" else back[::-1]
-        for name, lists, part in (("path", paths, dx[:, :VECTOR]), ("word", words, dx[:, VECTOR : 2 * VECTOR])):
-            sizes = np.array([len(v) for v in lists])
-            np.add.at(grad.p[name], np.concatenate(lists), np.repeat(part / sizes[:, None], sizes, axis=0))
+        paths.add_gradient(grad.p["path"], dx[:, :VECTOR])
+        words.add_gradient(grad.p["word"], dx[:, VECTOR : 2 * VECTOR])
         return grad.flat
 
 
@@ -292,6 +367,8 @@ _SIDES = ("aside", "div.sidebar", "div.widget", "div.related", "div.recommended"
 _NOTICES = ("div.ad", "div.ads", "div.banner", "div.advert", "div.sponsored", "div.promo", "aside.ad", "div.cookie-notice", "div.consent", "div.notice", "div.alert", "div.popup", "div.paywall", "div.disclaimer", "div.newsletter")
 _COMMENTS = ("div.comments", "section.comments", "ol.comment-list", "div.comment", "div.replies", "div.disqus-thread", "div.user-comments", "section.discussion")
 _FORMS = ("form", "form.search", "div.login", "form.subscribe", "fieldset")
+# Names of containers that only arrange others.
+_GRID = "container container-fluid row col-xs-12 col-sm-6 col-md-4 col-lg-3 wrapper wrap inner outer page site layout grid flex d-flex justify-center mx-auto px-4 clearfix block region panel body root app is-wide has-gutter".split()
 _HEADERS, _FOOTERS = ("header", "div.header", "div.masthead", "div.site-header"), ("footer", "div.footer", "div.site-footer", "div.copyright", "div.legal")
 
 
@@ -303,13 +380,19 @@ def _layout(rng: random.Random, vocabulary: list[str]) -> list[tuple[Block, int]
     """Blocks of one made-up page with their labels."""
     phrase = lambda low, high: " ".join(rng.choices(vocabulary, k=rng.randint(low, high)))
     plain = rng.random() < 0.15  # no name tells anything
+    depth = rng.randint(1, 12) if rng.random() < 0.5 else 0  # containers that only arrange others, above and below the telling ones
     page: list[tuple[str, int]] = []
 
+    def grid() -> tuple[str, str]:
+        levels = rng.randint(0, depth)
+        return "".join(f"""<div class="{' '.join(rng.choices(_GRID, k=rng.randint(1, 6)))}">""" for _ in range(levels)), "</div>" * levels
+
     def box(name: str, inner: str) -> str:
+        above, below = grid(), grid()
         tag, _, mark = name.partition(".")
         if plain:
             tag, mark = "div", f"{rng.choice('xyzqw')}{rng.randint(0, 99)}"
-        return f'<{tag}{f""" class="{mark}" """ if mark else ""}>{inner}</{tag}>'
+        return f'{above[0]}<{tag}{f""" class="{mark}" """ if mark else ""}>{below[0]}{inner}{below[1]}</{tag}>{above[1]}'
 
     def sentence() -> str:
         return phrase(1, 25).capitalize() + rng.choice([".", ".", ".", "!", ""])
@@ -352,9 +435,10 @@ def _layout(rng: random.Random, vocabulary: list[str]) -> list[tuple[Block, int]
     name = rng.choice(_CONTENT_BOXES)
     tag, _, mark = name.partition(".")
     opened = f'<{"div" if plain else tag} class="{mark}">' if mark and not plain else f"<{'div' if plain else tag}>"
-    page.append((opened, 0))
+    above, below = grid(), grid()
+    page.append((above[0] + opened + below[0], 0))
     page += inside
-    page.append((f"</{'div' if plain else tag}>", 0))
+    page.append((f"{below[1]}</{'div' if plain else tag}>{above[1]}", 0))
     if rng.random() < 0.4:
         page.append((box(rng.choice(_COMMENTS), comments()), 0))
     page += [(around(), 0) for _ in range(rng.randint(0, 3))]

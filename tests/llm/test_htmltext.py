@@ -81,3 +81,32 @@ def test_embedded_elements_lose_no_later_block():
     assert texts("<p>a</p><svg class='icon'/><p>b</p><svg/><p>c</p><svg><title/><style/><path d=''/>no</svg><p>d</p>") == ["a", "b", "c", "d"]
     assert texts("<p>a</p><svg class=i/>no</svg><p>b") == ["a", "b"]
     assert texts("<p>a</p><textarea><p>no</p></textarea><iframe><p>no</p></iframe><p>b") == ["a", "b"]
+
+
+def test_whole_paths_and_blocks_are_read():
+    grid = '<div class="col-xs-12 col-sm-6 col-md-4 row">'
+    page = lambda box, text: htmltext.parse(f"<{box}>{grid * 80}<p>{text}</p>{'</div>' * 80}</{box}>")
+    names = [f"n{chr(97 + i)}" for i in range(20)]
+    wide = htmltext.parse(f'<div class="{" ".join(names)}">x</div>')[0]
+    assert wide.path == ("div", *(f".{n}" for n in names))
+    model, x = htmltext.Labeller(), lambda blocks: model.inputs(*htmltext.describe(blocks))
+    assert page("nav", "x")[0].path.count(".col") == 240 and page("nav", "x")[0].path[0] == "nav"
+    assert not np.allclose(x(page("nav", "x"))[0, : htmltext.VECTOR], x(page("article", "x"))[0, : htmltext.VECTOR], atol=1e-6)
+    words = [f"w{i}" for i in range(3000)]
+    blocks = page("nav", " ".join(words)) + htmltext.parse("top <b>a</b>")
+    got = x(blocks)
+    for row, block in zip(got, blocks):
+        path = [model.p["path"][htmltext._bucket(n, htmltext.PATHS)] for n in block.path] or [model.p["path"][0]]
+        text = [model.p["word"][htmltext._bucket(w, htmltext.WORDS)] for w in block.text.split()]
+        assert np.allclose(row[: 2 * htmltext.VECTOR], np.hstack([np.sum(path, axis=0) / len(path) ** 0.5, np.mean(text, axis=0)]), atol=1e-5)
+    deep = htmltext.parse("<div class='a b'>x" * 20_000)
+    assert len(deep) == 20_000 and x(deep).shape[0] == 20_000
+
+
+def test_deciding_containers_above_deep_grids():
+    model = htmltext.Labeller(htmltext.train([f"w{i}" for i in range(300)]))
+    grid, text = '<div class="col-xs-12 col-sm-6 col-md-4 row">', "<p>One two three four five. Six seven eight nine ten.</p>" * 3
+    nested = lambda name, inner: f'<div class="{name}">{grid * 6}{inner}{"</div>" * 7}'
+    blocks = htmltext.parse("<html><body>" + nested("menu", "<ul><li><a href=x>w1</a><li><a href=x>w2 w3</a></ul>") + nested("article-body", text) + nested("comments", text) + nested("footer", "<p>w4 w5</p>"))
+    content = model.scores(model.inputs(*htmltext.describe(blocks))[:, None, :])[:, 0] > 0
+    assert content.tolist() == ["article" in " ".join(b.path) for b in blocks]
