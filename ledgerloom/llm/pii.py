@@ -2,20 +2,19 @@
 
 Four kinds of spans are found by pattern (leftmost, not overlapping within a kind) and checked: e-mail and IP addresses,
 card numbers (Luhn) and phone numbers. Their values are the protected entities. The corpus then tells how much the terms
-near an entity reveal of it: with counts over all documents,
+of its texts reveal of an entity: with counts over different texts,
 
     PMI(entity; term) = log2(P(entity, term) / (P(entity) P(term))),    IC(entity) = -log2 P(entity),
 
 and a term whose PMI reaches `DISCLOSURE` of the entity's information content gives it away: whoever reads the term can
-tell the entity. Such terms are spans of kind `term` wherever they stand near that entity. `sanitise` generalises them
+tell the entity. Such terms are spans of kind `term` wherever they stand in a text that holds that entity. `sanitise` generalises them
 to their shape and removes the pattern spans behind a label.
 
-Near means at most `NEAR` words and `REACH` characters on either side. Evidence is counted over different surroundings,
-so that copies of one passage count once, and at least `SUPPORT` of them are needed: a chance neighbour is no evidence.
-Term frequencies come from one pass over all words, added up in each task before the shuffle.
+Texts, entities, terms and pairs are all counted in different texts, so that copies of one text count once, and at least
+`SUPPORT` of them are needed: a chance neighbour is no evidence. Pairs are those of whole texts, for entities that have
+the support. Term frequencies come from one pass over all words, added up in each task before the shuffle.
 
-Null texts count as empty; an empty text has no spans. Repeated rows are handled each; they share their surroundings and
-add no evidence. An empty table gives an empty result.
+Null texts count as empty; an empty text has no spans. Repeated rows are handled each; they add no evidence. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +32,6 @@ from ledgerloom.llm.stages import written
 from ledgerloom.llm.textbytes import LOWER, WORD, prefix_sums, runs, span_hashes, words
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 8
-REACH = 1000
 SUPPORT = 3
 DISCLOSURE = 0.8
 
@@ -84,16 +81,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def _near(text: str, spans: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    """Places of the words (of text in lower case) around a span that no span covers."""
-    low, high = max(0, start - REACH), min(len(text), end + REACH)
-    before = [m.span() for m in _TERM.finditer(text, low, start)]
-    after = [m.span() for m in _TERM.finditer(text, end, high)]
-    if low and before and before[0][0] == low:
-        before = before[1:]
-    if high < len(text) and after and after[-1][1] == high:
-        after = after[:-1]
-    return [(a, b) for a, b in before[-NEAR:] + after[:NEAR] if not any(a < e and s < b for _, s, e in spans) and any(not c.isdigit() for c in text[a:b])]
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Places of the words (of text in lower case) that no span touches, without numbers."""
+    covered = sorted((s, e) for _, s, e in spans)
+    out, at, reach = [], 0, 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][0] < b:
+            reach = max(reach, covered[at][1])
+            at += 1
+        if reach <= a and any(not c.isdigit() for c in text[a:b]):
+            out.append((a, b))
+    return out
 
 
 def term_hashes(terms: list[str]) -> list[int]:
@@ -103,31 +102,31 @@ def term_hashes(terms: list[str]) -> list[int]:
 
 
 _SPAN = pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("end", pa.int32())])
-_PLACE = pa.struct([("entity", pa.int64()), ("around", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-_FOUND = "row bigint, doc_id bigint, spans array<struct<kind:tinyint,start:int,end:int>>, places array<struct<entity:bigint,around:bigint,term:bigint,start:int,end:int>>"
+_WORD = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_FOUND = "row bigint, doc_id bigint, same bigint, spans array<struct<kind:tinyint,start:int,end:int>>, entities array<bigint>, words array<struct<term:bigint,start:int,end:int>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of every text; of texts that have any, the different entities and all words outside of spans."""
     for batch in batches:
-        spans_out, places_out = [], []
+        same, spans_out, entities_out, words_out = [], [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
-            places = []
-            lowered = text.translate(_ASCII_LOWER) if spans else text
-            for kind, start, end in spans:
-                value = lowered[start:end] if kind < 2 else _digits(lowered[start:end])
-                entity = xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
-                near = _near(lowered, spans, start, end)
-                terms = [lowered[a:b] for a, b in near]
-                around = xxhash.xxh64_intdigest(" ".join(terms)) - (1 << 63)
-                if terms:
-                    places += [(entity, around, h, a, b) for h, (a, b) in zip(term_hashes(terms), near)]
+            entities, places = set(), []
+            if spans:
+                lowered = text.translate(_ASCII_LOWER)
+                for kind, start, end in spans:
+                    value = lowered[start:end] if kind < 2 else _digits(lowered[start:end])
+                    entities.add(xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63))
+                if places := _outside(lowered, spans):
+                    places = [(h, a, b) for h, (a, b) in zip(term_hashes([lowered[a:b] for a, b in places]), places)]
+            same.append(xxhash.xxh64_intdigest(text) - (1 << 63))
             spans_out.append(spans)
-            places_out.append(places)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(spans_out, pa.list_(_SPAN)), pa.array(places_out, pa.list_(_PLACE))], ["row", "doc_id", "spans", "places"]
-        )
+            entities_out.append(list(entities))
+            words_out.append(places)
+        columns = pa.array(same, pa.int64()), pa.array(spans_out, pa.list_(_SPAN)), pa.array(entities_out, pa.list_(pa.int64())), pa.array(words_out, pa.list_(_WORD))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "same", "spans", "entities", "words"])
 
 
 _HELD_TERMS = 1 << 20
@@ -163,15 +162,23 @@ def find_private(documents: DataFrame, support: int = SUPPORT, disclosure: float
     """row, doc_id, spans (pattern spans: kind, start, end), terms (start, end of disclosing terms) of every document."""
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(docs.mapInArrow(_find, _FOUND), "private")
-    all_docs = found.count()
-    places = found.select("row", F.explode("places").alias("p")).select("row", "p.*")
-    evidence = places.select("entity", "term", "around").distinct()
-    pairs = evidence.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    entities = evidence.select("entity", "around").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
-    frequency = docs.select("text").mapInArrow(_frequencies, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
-    content = F.log2(F.lit(float(max(all_docs, 1))) / F.col("seen"))
-    pmi = F.log2(F.col("both") * F.lit(float(max(all_docs, 1))) / (F.col("seen") * F.col("docs")))
-    revealing = pairs.join(entities, "entity").join(frequency, "term").where((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
+    firsts = written(found.groupBy("same").agg(F.min("row").alias("first_row")).select("first_row"), "firsts")
+    texts = float(max(firsts.count(), 1))
+    first = F.col("row") == F.col("first_row")
+    held = found.where(F.size("entities") > 0)
+    named = held.select("row", F.explode("entities").alias("entity"))
+    seen = named.join(firsts, first, "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("seen")).where((F.col("seen") >= support) & (F.col("seen") < texts))
+    entities = written(seen, "entities")
+    asked = named.join(entities, "entity").groupBy("row").agg(F.collect_list("entity").alias("asked"))
+    whole = written(held.select("row", "words").join(asked, "row").join(firsts, first, "left").select("row", "asked", "words", F.col("first_row").isNotNull().alias("first")), "asked")
+    evidence = whole.where("first").select(F.explode("asked").alias("entity"), "words")
+    pairs = evidence.select("entity", F.explode(F.array_distinct("words.term")).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    different = docs.select("row", "text").join(firsts.hint("shuffle_hash"), first, "left_semi")
+    frequency = different.select("text").mapInArrow(_frequencies, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
+    content = F.log2(F.lit(texts) / F.col("seen"))
+    pmi = F.log2(F.col("both") * F.lit(texts) / (F.col("seen") * F.col("docs")))
+    revealing = pairs.join(entities, "entity").join(frequency, "term").where(pmi >= disclosure * content).select("entity", "term")
+    places = whole.select("row", F.explode("asked").alias("entity"), "words").select("row", "entity", F.explode("words").alias("w")).select("row", "entity", "w.*")
     terms = places.join(revealing, ["entity", "term"]).select("row", F.struct("start", "end").alias("t")).groupBy("row").agg(F.array_sort(F.collect_set("t")).alias("terms"))
     return found.select("row", "doc_id", "spans").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")))
 

@@ -74,3 +74,13 @@ def test_registered_query_against_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert r.spans.startswith(joined)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in spans) for i in range(4)]
+
+
+def test_disclosing_terms_in_copies_and_far_away(spark):
+    rng = random.Random(2)
+    fill = lambda k: " ".join(rng.choices([f"w{i}x" for i in range(40)], k=k))
+    texts = [f"w1x Quillon, {fill(30)} far@mail.example.com {fill(60)} quillon {fill(5)}" for _ in range(3)]
+    rows = [(i, fill(30)) for i in range(200)] + [(1000 + i, texts[i % 3]) for i in range(180)]
+    out = {r.doc_id: r for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert [text[t.start : t.end] for t in out[i].terms] == (["Quillon", "quillon"] if i >= 1000 else [])
