@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, exactdedup, htmltext, lm, mixing, pii, simhash, suffixdedup, toxicity, urlfilter
+from ledgerloom.llm import decontaminate, exactdedup, htmltext, lm, merkle, mixing, pii, simhash, suffixdedup, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,78 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_extraction")
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+_MERKLE_LEVELS = 8
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"""
+
+
+def _merkle_leaf(text: str) -> str:
+    fields = ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256(concat({fields}))"
+
+
+def _merkle_tree(name: str, first: str) -> str:
+    """Levels 0 to _MERKLE_LEVELS of the trees (tree, pos, hash) of `first`; a level with one node stays as it is."""
+    levels = [f"{name}0 AS (SELECT tree, pos, hash, count(*) OVER (PARTITION BY tree) AS n FROM {first})"]
+    for k in range(_MERKLE_LEVELS):
+        levels.append(f"{name}_run{k} AS (SELECT tree, pos // 16 AS pos, list(hash ORDER BY pos) AS run, any_value(n) AS n FROM {name}{k} GROUP BY 1, 2)")
+        levels.append(f"{name}{k + 1} AS (SELECT tree, pos, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS hash, count(*) OVER (PARTITION BY tree) AS n FROM {name}_run{k})")
+    return ",\n    ".join(levels)
+
+
+def _merkle_climb(name: str, tree: str, pos: str, start: str) -> str:
+    """Each document's siblings and fold, one level after the other."""
+    steps, last = [], start
+    for k in range(_MERKLE_LEVELS):
+        at = f"d.{pos} >> {4 * k}"
+        others = f"array_to_string(list_concat(run[1 : ({at}) % 16], run[({at}) % 16 + 2 :]), '')"
+        folded = f"sha256(concat(array_to_string(run[1 : ({at}) % 16], ''), folded, array_to_string(run[({at}) % 16 + 2 :], '')))"
+        steps.append(
+            f"{name}_up{k} AS (SELECT d.* EXCLUDE (proof, folded), proof || CASE WHEN r.n = 1 THEN '' ELSE {others} END AS proof, CASE WHEN r.n = 1 THEN folded ELSE {folded} END AS folded "
+            f"FROM {last} d JOIN {name}_run{k} r ON r.tree = d.{tree} AND r.pos = (d.{pos} >> {4 * (k + 1)}))"
+        )
+        last = f"{name}_up{k}"
+    return ",\n    ".join(steps)
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH texts AS (
+        SELECT *, CASE WHEN xor({_CRC}, 4294967295) % 5 = 0 THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS changed FROM documents
+    ),
+    hashed AS (SELECT doc_id, source, {_merkle_leaf("text")} AS leaf, {_merkle_leaf("changed")} AS claimed FROM texts),
+    numbered AS (
+        SELECT doc_id, leaf, claimed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+        FROM hashed
+    ),
+    docs0 AS (SELECT tree, pos, leaf AS hash FROM numbered),
+    {_merkle_tree("doc", "docs0")},
+    subroots AS (SELECT 0 AS tree, tree AS pos, hash FROM doc{_MERKLE_LEVELS}),
+    {_merkle_tree("src", "subroots")},
+    begun AS (SELECT doc_id, leaf, tree, pos, 0 AS top, '' AS proof, claimed AS folded FROM numbered),
+    {_merkle_climb("doc", "tree", "pos", "begun")},
+    {_merkle_climb("src", "top", "tree", f"doc_up{_MERKLE_LEVELS - 1}")}
+    SELECT d.doc_id, d.leaf, s.hash AS subroot, r.hash AS root, sha256(d.proof) AS proof_sha256, d.folded AS folded_root, d.folded = r.hash AS verified
+    FROM src_up{_MERKLE_LEVELS - 1} d JOIN doc{_MERKLE_LEVELS} s ON s.tree = d.tree JOIN src{_MERKLE_LEVELS} r ON r.tree = d.top
+    """,
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digests(merkle.prove(table(spark, sf_dir, "documents"), claim=tampered()))
+
+
+def tampered() -> dict[str, Column]:
+    """The claim of op12: where 5 divides the CRC of the doc_id, the text's capitals are small."""
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return {"text": F.when(hit, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))}
+
+
+def merkle_digests(proved: DataFrame) -> DataFrame:
+    text = lambda c: F.lower(F.hex(c))
+    return proved.select(
+        "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+        F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
