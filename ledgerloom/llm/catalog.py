@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, exactdedup, htmltext, lm, merkle, mixing, pii, simhash, suffixdedup, toxicity, urlfilter
+from ledgerloom.llm import decontaminate, exactdedup, htmltext, lm, merkle, mixing, pii, setjoin, simhash, suffixdedup, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +214,8 @@ def merkle_digests(proved: DataFrame) -> DataFrame:
         "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
         F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
+
+
+@query("op13_jaccard_join")
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -32,3 +32,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+_IN_PLACE = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "SubqueryAlias"}
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """`df` itself if its rows come from a scan, else (out of a shuffle, a join, Python) written as a table, so that rows
+    numbered as they come have the same numbers in every pass."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    names = {line.lstrip(" :+-").split("[")[0].split("(")[0].split(" ")[0] for line in plan.splitlines() if line.strip()}
+    return df if names <= _IN_PLACE else written(df, "table")
