@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, exactdedup, htmltext, lm, merkle, mixing, pii, setjoin, simhash, suffixdedup, toxicity, urlfilter
+from ledgerloom.llm import decontaminate, exactdedup, htmltext, lm, merkle, mixing, pii, setjoin, simhash, suffixdedup, toxicity, urlfilter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +219,14 @@ def merkle_digests(proved: DataFrame) -> DataFrame:
 @query("op13_jaccard_join")
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_sets(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = whitening.Whitening(table(spark, sf_dir, "embeddings"))
+    shares = F.array(*[F.lit(float(e / fitted.trace)) for e in fitted.values]).cast("array<double>")
+    rows = fitted.transform().select("vec_id", "n", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(fitted.identity_error).alias("identity_error"),
+    )
