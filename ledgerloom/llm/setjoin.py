@@ -13,11 +13,12 @@ and `GROUP_TOKENS` tokens. The matrix holds for each token the groups in whose u
 number of its tokens in the group's union bounds its overlap with every member, and only groups with DEPTH or more are
 opened, that is, the whole sets of query and members are compared exactly.
 
-Each set first queries the group of its neighbour in each token's list, a number of queries in proportion to the list.
-Then components are formed, and sets query those groups that hold the token in a larger component than their own (by
-size, then name), which covers every pair whose sides are still apart. From each opened group only a forest of its links
-leaves. So large groups of near copies cost queries against groups, never rows for their pairs, and no link that joins
-two components is lost.
+First the members of each group are compared with one another, and sets query the group of the set before them in a
+token's list where it is another one, at most one query for each place in the lists. Then components are formed, and sets
+query those groups that hold the token in a larger component than their own (by size, then name), which covers every pair
+whose sides are still apart. From each opened group only a forest of its links leaves. So large groups of near copies cost
+queries against groups, never rows for their pairs, and no link that joins two components is lost. Texts are fetched once,
+for sets with DEPTH kept tokens, and sets are made from them where they are compared (texts compress, hashes do not).
 
 Null and empty texts have no words, an empty set, and are linked with nothing. Repeated rows are copies. component_id is
 the smallest doc_id reachable; null doc_ids count only where a component has no other. Very long texts are one set like
@@ -32,6 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,21 +208,16 @@ def matrix(kept: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     return written(kept.join(grouped, "cls").select("token", "grp", "cls", "n"), "matrix")
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [x.tobytes() for x in shingle_sets(batch.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(blobs, pa.binary())], ["row", "tokens"])
-
-    return run
+def _match(words: int, percent: int):
+    """Members of one opened group, and its queries, to a forest of their links.
 
-
-def _match(percent: int):
-    """Queries and members of one opened group to a forest of their links."""
+    Where the queries begin with a null, members are compared with one another too."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         names = members.column("cls").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
+        sets = list(shingle_sets(members.column("text").combine_chunks(), words)) if len(members) else []
+        asked = queries.filter(pc.is_valid(queries.column("cls")))
+        own = len(asked) < len(queries)
         edges: list[tuple[int, int]] = []
         root: dict[int, int] = {}
 
@@ -237,8 +234,10 @@ def _match(percent: int):
             flat, owner = flat[order], owner[order]
             starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
             union, ends = flat[starts], np.append(starts[1:], len(flat))
-            for cls, blob in zip(queries.column("cls").to_pylist(), queries.column("tokens").to_pylist()):
-                tokens = np.frombuffer(blob, np.uint64)
+            searches = list(zip(names.tolist(), sets)) if own else []
+            if len(asked):
+                searches += zip(asked.column("cls").to_pylist(), shingle_sets(asked.column("text").combine_chunks(), words))
+            for cls, tokens in searches:
                 at = np.searchsorted(union, tokens)
                 at[at == len(union)] = 0
                 at = at[union[at] == tokens]
@@ -258,15 +257,23 @@ def _match(percent: int):
     return run
 
 
-def open_groups(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between the queries of `asked` (cls, grp) and members of those groups; sets: cls, grp, n, tokens."""
-    asked = asked.join(sets.select("cls", "n"), "cls")
-    parts = written(asked.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")), "opened")
-    queries = asked.join(parts, "grp").select("cls", F.struct("grp", F.pmod(F.xxhash64("cls"), "parts").alias("part")).alias("at"))
-    queries = queries.join(sets.select("cls", "tokens"), "cls")
-    members = sets.select("grp", "cls", "tokens").join(parts, "grp").select("cls", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "grp")
-    members = members.select("cls", F.struct("grp", "part").alias("at"), "tokens")
-    pairs = queries.groupBy("at").cogroup(members.groupBy("at")).applyInArrow(_match(percent), "a bigint, b bigint")
+def open_groups(asked: DataFrame, texts: DataFrame, words: int, percent: int, own: bool) -> DataFrame:
+    """a, b: links between the queries of `asked` (cls, grp) and members of those groups, and if `own` is set among the
+    members of every group. texts: cls, grp, n, text, a row for each class."""
+    asked = asked.join(texts.select("cls", "n"), "cls")
+    held = asked.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
+    one = F.lit(1).cast("long")
+    if own:
+        several = texts.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        held = held.join(several, "grp", "full").select("grp", F.coalesce("parts", one).alias("parts"))
+    held = written(held, "opened")
+    at = lambda part: F.struct("grp", part.alias("part")).alias("at")
+    queries = asked.select("cls", "grp").join(held, "grp").select("cls", at(F.pmod(F.xxhash64("cls"), "parts"))).join(texts.select("cls", "text"), "cls")
+    if own:
+        queries = queries.unionByName(held.select(F.lit(None).cast("long").alias("cls"), at(F.lit(0).cast("long")), F.lit(None).cast("string").alias("text")))
+    members = texts.select("cls", "grp", "text").join(held, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    members = members.select("cls", at(F.col("part")), "text")
+    pairs = queries.groupBy("at").cogroup(members.groupBy("at")).applyInArrow(_match(words, percent), "a bigint, b bigint")
     return written(pairs, "links")
 
 
@@ -281,7 +288,7 @@ def ranked(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, depth: int) -> DataFrame:
-    """cls, grp: each class and the group of the class before it in a token's list, if DEPTH tokens say so."""
+    """cls, grp: classes and the other group of the class before them in a token's list, if DEPTH tokens say so."""
     shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("token", "grp", "cls").repartition(shards, "token").sortWithinPartitions("token", "grp", "cls")
     return dealt.mapInArrow(_before, "cls bigint, grp bigint").groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= depth).select("cls", "grp")
@@ -295,8 +302,8 @@ def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, grp, cls = (batch.column(c).to_numpy() for c in ("token", "grp", "cls"))
         if last is not None:
             token, grp, cls = np.append(last[0], token), np.append(last[1], grp), np.append(last[2], cls)
-        same = token[1:] == token[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(cls[1:][same]), pa.array(grp[:-1][same])], ["cls", "grp"])
+        other = (token[1:] == token[:-1]) & (grp[1:] != grp[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(cls[1:][other]), pa.array(grp[:-1][other])], ["cls", "grp"])
         last = token[-1:], grp[-1:], cls[-1:]
 
 
@@ -319,10 +326,9 @@ def link_sets(documents: DataFrame, words: int = 3, percent: int = 90) -> tuple[
     kept = kept_tokens(documents.select("row", "text"), classes, words, percent, token_sketch(digests))
     table = matrix(kept, classes, depth)
     active = table.select("cls", "grp", "n").distinct()
-    texts = documents.select("row", "text").join(active.select("cls").hint("shuffle_hash"), F.col("row") == F.col("cls"), "left_semi")
-    sets = written(texts.mapInArrow(_sets(words), "row bigint, tokens binary").withColumnRenamed("row", "cls").join(active, "cls"), "sets")
-    near = open_groups(neighbours(table, depth), sets, percent)
-    far = open_groups(apart(written(ranked(table, near), "ranked"), depth), sets, percent)
+    texts = written(documents.select("row", "text").join(active.hint("shuffle_hash"), F.col("row") == F.col("cls")).select("cls", "grp", "n", "text"), "members", "zstd")
+    near = open_groups(neighbours(table, depth), texts, words, percent, own=True)
+    far = open_groups(apart(written(ranked(table, near), "ranked"), depth), texts, words, percent, own=False)
     return rows, classes, near.unionByName(far)
 
 
