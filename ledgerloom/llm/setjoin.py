@@ -18,7 +18,7 @@ token's list where it is another one, at most one query for each place in the li
 query those groups that hold the token in a larger component than their own (by size, then name), which covers every pair
 whose sides are still apart. From each opened group only a forest of its links leaves. So large groups of near copies cost
 queries against groups, never rows for their pairs, and no link that joins two components is lost. Texts are fetched once,
-for sets with DEPTH kept tokens, and sets are made from them where they are compared (texts compress, hashes do not).
+for sets that share DEPTH kept tokens with a group, and sets are made from them where they are compared (texts compress, hashes do not).
 
 Null and empty texts have no words, an empty set, and are linked with nothing. Repeated rows are copies. component_id is
 the smallest doc_id reachable; null doc_ids count only where a component has no other. Very long texts are one set like
@@ -46,6 +46,7 @@ SKETCH_BITS = 18
 SLICES = 16
 GROUP_SETS = 256
 GROUP_TOKENS = 1 << 20
+WIDE = 64
 _HELD = 20_000
 
 
@@ -197,7 +198,10 @@ def kept_tokens(documents: DataFrame, classes: DataFrame, words: int, percent: i
 
 
 def matrix(kept: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
-    """token, grp, cls, n: the kept tokens of every class that can have links, with the group it is in."""
+    """token, grp, cls, n: the kept tokens of every class that can have links, with the group it is in.
+
+    A class stays if some group shares `depth` of its tokens; tokens in over WIDE groups count for every group, so that
+    this costs at most WIDE rows a token of a class."""
     counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
     told = kept.join(counts, "token")
     active = told.groupBy("cls").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("sets", "token")).alias("top")).where(F.col("held") >= depth)
@@ -205,7 +209,15 @@ def matrix(kept: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     sizes = active.groupBy("sig").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
     large = sizes.where("parts > 1")
     grouped = active.join(large, "sig", "left").select("cls", "n", F.xxhash64("sig", F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1)))).alias("grp"))
-    return written(kept.join(grouped, "cls").select("token", "grp", "cls", "n"), "matrix")
+    table = written(kept.join(grouped, "cls").select("token", "grp", "cls", "n"), "matrix")
+    unions = table.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("members"))
+    wide = unions.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
+    told = table.join(wide, "token").select("token", "cls", "grp", (F.col("groups") > WIDE).alias("wide"))
+    met = told.where("not wide").join(unions.select("token", F.col("grp").alias("other"), "members"), "token").where("grp <> other or members > 1")
+    met = met.groupBy("cls", "other").agg(F.count(F.lit(1)).alias("common")).groupBy("cls").agg(F.max("common").alias("common"))
+    free = told.groupBy("cls").agg(F.count(F.when(F.col("wide"), 1)).alias("free"))
+    live = free.join(met, "cls", "left").where(F.col("free") + F.coalesce("common", F.lit(0)) >= depth).select("cls")
+    return written(table.join(live, "cls", "left_semi"), "matrix")
 
 
 def _match(words: int, percent: int):
@@ -288,9 +300,11 @@ def ranked(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, depth: int) -> DataFrame:
-    """cls, grp: classes and the other group of the class before them in a token's list, if DEPTH tokens say so."""
+    """cls, grp: classes and the other group of the class before them in a token's list, if DEPTH tokens say so. A list may
+    lie over several tasks; a place at the begin of a task has none before it, which the later queries make up for."""
     shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("token", "grp", "cls").repartition(shards, "token").sortWithinPartitions("token", "grp", "cls")
+    order = ["token", "grp", "cls"]
+    dealt = rows.select(*order).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(_before, "cls bigint, grp bigint").groupBy("cls", "grp").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= depth).select("cls", "grp")
 
 
