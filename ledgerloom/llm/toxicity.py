@@ -2,9 +2,10 @@
 
 A text's features are the byte n-grams of its words (one boundary on either side included) and its whole words, hashed
 into `BUCKETS`. Their embeddings are averaged and a two-class linear softmax reads the mean. Embeddings and softmax are
-trained together by Adam on a bounded sample of labelled rows: the `TRAIN_ROWS` rows of smallest hash of their doc_id.
-Misspellings that training never saw share n-grams, and so vectors, with words that it did see. A fifth of the sample
-places the score 0.7 where F1 is best.
+trained together by Adam on a bounded sample of labelled rows: the `TRAIN_ROWS` rows of smallest hash of their doc_id
+(whole texts: the bound is on rows, not on bytes). Misspellings that training never saw share n-grams, and so vectors,
+with words that it did see. Each of `FOLDS` parts of the sample is scored by a fit on the others, in tasks of their own;
+these out-of-fold scores choose the shrinkage and place the score 0.7 where F1 is best. The model is then fitted on all.
 
 With two classes the softmax depends on one number per bucket, embedding times weight difference. Only these numbers
 (1 MB, whatever the corpus) leave training, one task does the fitting, and scoring is one gather and sum over the bytes
@@ -31,11 +32,12 @@ from ledgerloom.llm.textbytes import LOWER, WORD, prefix_sums, runs, span_hashes
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6, 7, 8)
 DIMENSION = 8
-TRAIN_ROWS = 2500
-EPOCHS = 30
+TRAIN_ROWS = 5000
+EPOCHS = 50
+FOLDS = 3
 BATCH = 256
 RATE = 0.1
-SHRINKAGE = (0.6, 2.5)  # the better one on the part of the sample held back
+SHRINKAGE = (0.6, 2.5)  # the better one out of fold
 MIN_ROWS = 10
 THRESHOLD = 0.7
 
@@ -110,38 +112,84 @@ def _adam(bucket: np.ndarray, weight: np.ndarray, edges: np.ndarray, width: int,
     return table @ slope, float(bias)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """BUCKETS + 2 numbers: one per bucket, the bias, and the logit that is to score 0.7."""
-    model = np.zeros(BUCKETS + 2, np.float32)
+class _Sample:
+    """The distinct features of the sample's texts that enough rows have, and the fits on parts of it."""
+
+    def __init__(self, texts: pa.Array, labels: np.ndarray, counted: np.ndarray):
+        rows_with = np.zeros(BUCKETS, np.int64)
+        for row, bucket, _ in _bags(texts):
+            rows_with += np.bincount(bucket[counted[row]], minlength=BUCKETS)
+        self.common = np.flatnonzero(rows_with >= min(MIN_ROWS, 1 + len(labels) // 100))
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.common] = np.arange(len(self.common))
+        bags = []
+        for row, bucket, weight in _bags(texts):
+            keep = place[bucket] >= 0
+            bags.append((row[keep], place[bucket[keep]], weight[keep]))
+        self.row, self.bucket, self.weight = (np.concatenate(part) for part in zip(*bags))
+        self.edges, self.labels = np.searchsorted(self.row, np.arange(len(labels) + 1)), labels
+
+    def fit(self, train: np.ndarray, shrinkage: float) -> tuple[np.ndarray, float, np.ndarray]:
+        """Effects, bias, and the logits of all rows, learnt from the rows of `train`."""
+        effect, bias = _adam(self.bucket, self.weight, self.edges, len(self.common), self.labels, train, shrinkage)
+        return effect, bias, np.bincount(self.row, weights=self.weight * effect[self.bucket], minlength=len(self.labels)) + bias
+
+    def model(self, effect: np.ndarray, bias: float, cut: float) -> np.ndarray:
+        out = np.zeros(BUCKETS + 2, np.float32)
+        out[self.common], out[BUCKETS], out[BUCKETS + 1] = effect, bias, cut
+        return out
+
+
+def _without(labels: np.ndarray) -> np.ndarray | None:
+    """The model where one class is missing: every score is the share of toxic rows."""
     share = labels.mean() if len(labels) else 0.0
-    if share in (0.0, 1.0):
-        model[BUCKETS] = -40 if share == 0 else 40
+    model = np.zeros(BUCKETS + 2, np.float32)
+    model[BUCKETS] = -40 if share == 0 else 40
+    return model if share in (0.0, 1.0) else None
+
+
+def fit(texts: pa.Array, labels: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """BUCKETS + 2 numbers: one per bucket, the bias, and the logit that is to score 0.7, with one part held back."""
+    model = _without(labels)
+    if model is not None:
         return model
-    rows_with = np.zeros(BUCKETS, np.int64)
-    for row, bucket, _ in _bags(texts):
-        rows_with += np.bincount(bucket[~held[row]], minlength=BUCKETS)
-    common = np.flatnonzero(rows_with >= min(MIN_ROWS, 1 + len(labels) // 100))
-    place = np.full(BUCKETS, -1, np.int32)
-    place[common] = np.arange(len(common))
-    bags = []
-    for row, bucket, weight in _bags(texts):
-        keep = place[bucket] >= 0
-        bags.append((row[keep], place[bucket[keep]], weight[keep]))
-    row, bucket, weight = (np.concatenate(part) for part in zip(*bags))
-    edges = np.searchsorted(row, np.arange(len(labels) + 1))
-    train = np.flatnonzero(~held)
+    sample, train = _Sample(texts, labels, ~held), np.flatnonzero(~held)
     test = held if held.any() and 0 < labels[held].sum() < held.sum() else np.ones(len(labels), bool)
     best = -1.0
     for shrinkage in SHRINKAGE:
-        effect, bias = _adam(bucket, weight, edges, len(common), labels, train, shrinkage)
-        logit = np.bincount(row, weights=weight * effect[bucket], minlength=len(labels)) + bias
+        effect, bias, logit = sample.fit(train, shrinkage)
         quality, cut = _best_cut(logit[test], labels[test])
         if quality > best:
-            best = quality
-            model[common], model[BUCKETS], model[BUCKETS + 1] = effect, bias, cut
+            best, model = quality, sample.model(effect, bias, cut)
     return model
 
 
+def fold_of(n: int) -> np.ndarray:
+    return np.arange(n) % FOLDS
+
+
+def trial(texts: pa.Array, labels: np.ndarray, fold: int, shrinkage: float) -> np.ndarray:
+    """The logits that the other folds give the rows of `fold`."""
+    mine = fold_of(len(labels)) == fold
+    if _without(labels[~mine]) is not None:
+        return np.zeros(int(mine.sum()))
+    return _Sample(texts, labels, ~mine).fit(np.flatnonzero(~mine), shrinkage)[2][mine]
+
+
+def fit_chosen(texts: pa.Array, labels: np.ndarray, logits: list[np.ndarray]) -> np.ndarray:
+    """The model fitted on all rows. Shrinkage and cut are those that are best on the out-of-fold logits, given for each
+    value of SHRINKAGE."""
+    model = _without(labels)
+    if model is not None:
+        return model
+    found = [(*_best_cut(x, labels), shrinkage) for x, shrinkage in zip(logits, SHRINKAGE)]
+    _, cut, shrinkage = max(found, key=lambda f: f[0])
+    every = np.ones(len(labels), bool)
+    sample = _Sample(texts, labels, every)
+    effect, bias, _ = sample.fit(np.flatnonzero(every), shrinkage)
+    return sample.model(effect, bias, cut)
+
+
 def _best_cut(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """The best F1 of any cut, and the mean of the logits whose F1, as cuts, is within a hundredth of it."""
     order = np.argsort(-logits)
@@ -154,12 +202,31 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     rank = F.xxhash64("doc_id")
     sample = labelled.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), rank.alias("rank")).orderBy("rank").limit(train_rows)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "doc_id"], kind="stable")
-        model = fit(pa.array(group["text"], pa.string()), group["toxic"].to_numpy(np.float64), np.arange(len(group)) % 5 == 4)
+    sample = written(sample, "sample")
+
+    def ordered(group: pd.DataFrame) -> tuple[pa.Array, np.ndarray]:
+        group = group.sort_values(["rank", "doc_id", "text", "toxic"], kind="stable")
+        return pa.array(group["text"], pa.string()), group["toxic"].to_numpy(np.float64)
+
+    def tried(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        texts, labels = ordered(group)
+        way, fold = divmod(key[0], FOLDS)
+        logits = trial(texts, labels, fold, SHRINKAGE[way])
+        return pd.DataFrame({"way": way, "place": np.flatnonzero(fold_of(len(labels)) == fold), "logit": logits})
+
+    def chosen(group: pd.DataFrame, trials: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame({"model": []})
+        texts, labels = ordered(group)
+        trials = trials.sort_values(["way", "place"])
+        model = fit_chosen(texts, labels, [trials["logit"][trials["way"] == way].to_numpy() for way in range(len(SHRINKAGE))])
         return pd.DataFrame({"model": [model.tobytes()]})
 
-    return sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary")
+    every = F.explode(F.sequence(F.lit(0), F.lit(FOLDS * len(SHRINKAGE) - 1)))
+    dealt = sample.withColumn("trial", every).repartition(FOLDS * len(SHRINKAGE), "trial")
+    trials = written(dealt.groupBy("trial").applyInPandas(tried, "way int, place bigint, logit double"), "trials")
+    one = F.lit(0).alias("all")
+    return sample.groupBy(one).cogroup(trials.groupBy(one)).applyInPandas(chosen, "model binary")
 
 
 def text_scores(model: np.ndarray, texts: pa.Array) -> np.ndarray:
