@@ -6,15 +6,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import infer_frequency
+from ledgerloom.functions.money import clean_price, infer_frequency, pricing_type, tier_range
 from ledgerloom.functions.questions import invoice_numbers, is_invoice_question, question_filters
+from ledgerloom.functions.text import strip
 from ledgerloom.operators import clauses as cl
 from ledgerloom.operators import documents as docs
 from ledgerloom.operators import invoices as inv
 from ledgerloom.operators import loadrows, matching, modules
+from ledgerloom.operators import pools as pl
 from ledgerloom.operators import portfolio as pf
 from ledgerloom.operators import similarity as sim
 from ledgerloom.operators.contains import contains_pairs
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources import sinks
 from ledgerloom.sources.model_output import parse_model_output
 
@@ -102,6 +105,60 @@ def match_items(items: DataFrame, item_vectors: DataFrame, dictionary: DataFrame
     return matching.code_by_description(rows, dictionary).withColumn("match_confidence", F.col("confidence") / 100.0)
 
 
+def match_items_by_section(items: DataFrame, section_map: DataFrame, dictionary: DataFrame, item_vectors: DataFrame, dictionary_vectors: DataFrame,
+                           keywords: DataFrame, ranked: DataFrame | None = None, accept: float = 0.90) -> DataFrame:
+    """Every kept fee item with a code: stated in the contract, or the best row of its section's and keywords' pool.
+
+    `items` is (item_id, item, section_header, stated_code, price, checkbox), `section_map` (raw, section), the vectors
+    (text, vector) of cleaned items and of descriptions. Below `accept` the answers in `ranked` (item_id, scope, code,
+    description, confidence) come first: those of scope 'pool', or where they are missing or under 70 those of scope 'full'
+    if higher; without an answer the best row stays, marked as fallback. An item without a pool has the whole dictionary.
+    """
+    kept = items.where(F.coalesce("checkbox", F.lit(True)) & (strip(F.coalesce("item", F.lit(""))) != ""))
+    canon = matching.section_canonical(kept.select(F.col("section_header").alias("header")), section_map)
+    base = kept.join(canon.select(F.col("header").alias("section_header"), "section"), "section_header", "left").withColumn("text", sim.legal_clean(F.col("item")))
+    # Several later steps read the items with their sections, the sections' rows and the pools; each is written once.
+    base = cut_lineage(base.select("item_id", "item", "section", "stated_code", "price", "text"))
+    sections = cut_lineage(matching.section_pool(base.select("section").where("section IS NOT NULL"), dictionary))
+    stated = matching.validate_stated_code(base.select("item_id", "section", "stated_code"), sections, dictionary)
+    # A section without rows stands for the whole dictionary, so that a code found there is a code of the section.
+    open_items = base.withColumn("_s", F.lower("section")).join(sections.select(F.col("section").alias("_s")).distinct(), "_s", "left_anti").select("item_id", F.lit(True).alias("_open"))
+    stated = stated.join(open_items, "item_id", "left").select(
+        "item_id", "code", "description",
+        F.when(F.col("_open") & (F.col("source") == "Contract+Dict (full)"), "Contract+Dict (section)").otherwise(F.col("source")).alias("source"), "confidence",
+    )
+
+    rest = base.where(strip(F.coalesce("stated_code", F.lit(""))) == "")
+    empty = rest.where(F.col("text") == "").select("item_id", F.lit("").alias("code"), F.lit("").alias("description"), F.lit("Empty item").alias("source"), F.lit(0).alias("confidence"))
+    todo = rest.where(F.col("text") != "")
+    asked, pools = map(cut_lineage, pl.item_pools(todo.select("text", "section"), dictionary, sections, keywords))
+    texts = asked.select("pool", "text").distinct().join(item_vectors, "text", "left")
+    rows = dictionary.join(dictionary_vectors.withColumnRenamed("text", "description"), "description", "left")
+    best = cut_lineage(pl.best_in_pool(texts, pools, rows.select("position", "description", "vector"))).join(dictionary.select("position", "code", "description"), "position")
+    same_section = F.col("i.section").eqNullSafe(F.col("a.section")) & (F.col("i.text") == F.col("a.text"))
+    found = todo.alias("i").join(asked.alias("a"), same_section).select("i.item_id", "a.text", "a.pool").join(best, ["pool", "text"])
+    full = F.col("pool") == pl.WHOLE
+    scored = found.withColumn("_auto", F.col("score") >= accept).withColumn("_suffix", F.when(full, " - full").otherwise(""))
+    own = F.struct("code", "description", F.concat(F.when(F.col("_auto"), "Hybrid (auto)").otherwise("Hybrid (fallback)"), "_suffix").alias("source"),
+                   F.bround(F.col("score") * 100, 0).cast("int").alias("confidence"))
+    if ranked is None:
+        matched = scored.select("item_id", own.alias("r")).select("item_id", "r.*")
+    else:
+        answer = F.max_by(F.struct("code", "description", F.col("confidence").cast("int").alias("confidence")), F.struct("confidence", "code", "description"))
+        of = lambda scope: ranked.where(F.col("scope") == scope).groupBy("item_id").agg(answer.alias(f"_{scope}"))
+        both = scored.join(of("pool"), "item_id", "left").join(of("full"), "item_id", "left")
+        first, second = F.col("_pool"), F.col("_full")
+        better = ~full & (F.coalesce(first["confidence"], F.lit(0)) < 70) & (second["confidence"] > F.coalesce(first["confidence"], F.lit(0)))
+        named = lambda r, label: F.struct(r["code"].alias("code"), r["description"].alias("description"), label.alias("source"), r["confidence"].alias("confidence"))
+        chosen = F.when(F.col("_auto"), own).when(better, named(second, F.lit("AI - full (fallback)"))).when(first.isNotNull(), named(first, F.concat(F.lit("AI"), F.col("_suffix")))).otherwise(own)
+        matched = both.select("item_id", chosen.alias("r")).select("item_id", "r.*")
+    codes = stated.unionByName(empty).unionByName(matched)
+    return base.join(codes, "item_id").select(
+        "item_id", "item", "section", "code", "description", "source", "confidence", (F.col("confidence") / 100.0).alias("match_confidence"),
+        clean_price(F.col("price")).alias("cleaned_price"), pricing_type(F.col("price")).alias("pricing_type"), tier_range(F.col("item")).alias("tier_range"),
+    )
+
+
 def master_load_rows(inventory: DataFrame, hierarchy: DataFrame, overview: DataFrame, items: DataFrame, matches: DataFrame,
                      primary: DataFrame, fallback: DataFrame, vendor: str | None = None) -> DataFrame:
     """Load rows of each client's newest master agreement, legal wording left out."""
@@ -145,8 +202,6 @@ def incremental(contracts: DataFrame, done: DataFrame, process, path: str, stage
     fresh = process(todo)
     kept = done.join(todo.select("client").distinct(), "client", "left_semi").join(
         todo.select("client", "filename"), ["client", "filename"], "left_anti")
-    from ledgerloom.session import cut_lineage
-
     rows = cut_lineage(fresh.unionByName(kept.select(*fresh.columns), allowMissingColumns=True))
     sinks.write_stage(rows, path)
     return sinks.run_meta(rows.withColumnRenamed("filename", "source_contract"), stage, cutoff_year)
