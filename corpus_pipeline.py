@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), with docs read from Parquet, and returns a frame; all but the last return the
 columns of documents. Of equal texts the largest doc_id stays, of near copies the smallest. Near copies are linked on
-shingles of five words. The last stage keeps every document and says how many copies of it the mix takes.
+shingles of five words: by SimHash, then, among what it leaves, by Jaccard similarities of 0.8 or more. The last stage keeps every document and says how many copies of it the mix takes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, exactdedup, mixing, simhash, toxicity
+from ledgerloom.llm import decontaminate, exactdedup, mixing, setjoin, simhash, toxicity
 from ledgerloom.llm.stages import written
 
 ORACLE_SQL = None
@@ -27,7 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs, shingle_words=5)
+    """Fingerprints find the closest copies at little cost, the exact join all others at the stated similarity."""
+    return setjoin.drop_near_sets(simhash.drop_near_copies(docs, shingle_words=5), words=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
