@@ -198,12 +198,10 @@ ASKED_DOCS = f"asked AS (SELECT question_id, unnest(list_slice({NUMBERS}, 1, 10)
 
 
 @query("invoice_by_document", f"""
-WITH {ASKED_DOCS}, r AS (
-  SELECT question_id, p.*, row_number() OVER (PARTITION BY question_id ORDER BY {NEWEST_SQL}) AS rn
-  FROM invoice_core p JOIN asked USING (document))
-SELECT question_id, {LINE_SQL} FROM r WHERE rn <= 2000""")
+WITH {ASKED_DOCS}, r AS (SELECT question_id, p.* FROM invoice_core p JOIN asked USING (document))
+SELECT question_id, {LINE_SQL} FROM r""")
 def invoice_by_document(t):
-    return inv.invoice_by_document(t.invoice_core, asked_documents(t), 2000).select("question_id", *LINE[1:])
+    return inv.invoice_by_document(t.invoice_core, asked_documents(t)).select("question_id", *LINE[1:])
 
 
 def asked_codes(t):
@@ -237,13 +235,11 @@ def question_codes(t):
 
 
 @query("invoice_by_material", f"""
-WITH {ASKED_CODES}, r AS (
-  SELECT question_id, code, p.*, row_number() OVER (PARTITION BY question_id ORDER BY {NEWEST_SQL}) AS rn
-  FROM invoice_core p JOIN asked ON upper(trim(material)) = code)
-SELECT question_id, {LINE_SQL} FROM r WHERE rn <= 2000""")
+WITH {ASKED_CODES}, r AS (SELECT question_id, code, p.* FROM invoice_core p JOIN asked ON upper(trim(material)) = code)
+SELECT question_id, {LINE_SQL} FROM r""")
 def invoice_by_material(t):
     asked = asked_codes(t).select("question_id", "code")
-    return inv.invoice_by_material(t.invoice_core, asked, n=2000).select("question_id", *LINE[1:])
+    return inv.invoice_by_material(t.invoice_core, asked).select("question_id", *LINE[1:])
 
 
 @query("invoice_by_material_scoped", f"""
@@ -251,13 +247,13 @@ WITH {COUNTRY_SCOPE}, {ASKED_CODES}, who AS (
   SELECT question_id, replace(n_name, '_', ' ') AS client FROM questions JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey),
 r AS (
-  SELECT question_id, client, p.*, row_number() OVER (PARTITION BY question_id ORDER BY {NEWEST_SQL}) AS rn
+  SELECT question_id, client, p.*
   FROM invoice_parties p JOIN scope USING (soldto) JOIN who USING (client) JOIN asked USING (question_id)
   WHERE upper(trim(material)) = code)
-SELECT question_id, client, {LINE_SQL} FROM r WHERE rn <= 2000""")
+SELECT question_id, client, {LINE_SQL} FROM r""")
 def invoice_by_material_scoped(t):
     asked = asked_codes(t).select("question_id", "code").join(question_countries(t), "question_id")
-    return inv.invoice_by_material(country_lines(t), asked, by_client=True, n=2000).select("question_id", *LINE)
+    return inv.invoice_by_material(country_lines(t), asked, by_client=True).select("question_id", *LINE)
 
 
 def question_countries(t):
