@@ -90,6 +90,10 @@ def parse(page: str | None) -> list[Block]:
     links = linked = svgs = 0
     opened: list[tuple[int, int]] = []  # of open embedded elements: place on the stack, blocks before them
     hidden: list[tuple[int, int]] = []  # ranges of blocks within closed embedded elements
+    places: dict[str, list[int]] = {}  # where on the stack the elements of each tag are
+
+    def innermost(*tags: str) -> int:
+        return max(places[t][-1] if places.get(t) else -1 for t in tags)
 
     def flush() -> None:
         nonlocal linked
@@ -105,6 +109,8 @@ def parse(page: str | None) -> list[Block]:
             flush()
         links -= sum(e.tag == "a" for e in stack[upto:])
         svgs -= sum(e.tag == "svg" for e in stack[upto:])
+        for e in stack[upto:]:
+            places[e.tag].pop()
         del stack[upto:]
         while opened and opened[-1][0] > upto:
             opened.pop()
@@ -147,9 +153,8 @@ def parse(page: str | None) -> list[Block]:
         closing, tag, marks = found.group(1), found.group(2).lower(), found.group(3)
         at = found.end()
         if closing:
-            spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if spot >= 0:
-                close(spot, ended=True)
+            if places.get(tag):
+                close(places[tag][-1], ended=True)
             continue
         if (svgs or tag == "svg") and marks.endswith("/") and not _VALUE_WITH_SLASH.search(marks):
             if tag not in INLINE:
@@ -172,17 +177,18 @@ def parse(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
             if tag in _PARAGRAPH_ENDS:
-                spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p" or stack[i].tag in ("div", "article", "section", "td", "body", "li")), -1)
+                spot = innermost("p", "div", "article", "section", "td", "body", "li")
                 if spot >= 0 and stack[spot].tag == "p":
                     close(spot)
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                spot = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag or stack[i].tag in ("ul", "ol", "dl", "table")), -1)
+                spot = innermost(tag, "ul", "ol", "dl", "table")
                 if spot >= 0 and stack[spot].tag == tag:
                     close(spot)
         names = [tag]
         if "=" in marks:
             for key, *values in _MARK.findall(marks):
                 names += [f"{tag if key.lower() == 'role' else ''}.{w.lower()}" for v in values for w in _NAME.findall(v)]
+        places.setdefault(tag, []).append(len(stack))
         stack.append(Element(tag, names, stack[-1] if stack else None))
         links += tag == "a"
         svgs += tag == "svg"

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import htmltext
 from ledgerloom.llm.catalog import QUERIES
@@ -110,3 +112,14 @@ def test_deciding_containers_above_deep_grids():
     blocks = htmltext.parse("<html><body>" + nested("menu", "<ul><li><a href=x>w1</a><li><a href=x>w2 w3</a></ul>") + nested("article-body", text) + nested("comments", text) + nested("footer", "<p>w4 w5</p>"))
     content = model.scores(model.inputs(*htmltext.describe(blocks))[:, None, :])[:, 0] > 0
     assert content.tolist() == ["article" in " ".join(b.path) for b in blocks]
+
+
+@pytest.mark.parametrize("unit", ["<div>{}", "<b>{}", "<b>x{}"])
+@pytest.mark.parametrize("end", ["</em>", "</div x>", "<h1>", "<li>y", "</nosuch>", "<p>", "<option>"])
+def test_time_is_linear_in_open_elements(unit, end):
+    """A page of 400 to 700 KB: tags that close nothing, or look for what they close, after very many open elements."""
+    n = 40_000
+    page = unit.format("") * n + end * n
+    began = time.process_time()
+    htmltext.parse(page)
+    assert time.process_time() - began < 5
