@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.stages import written
 
 SAMPLE_PAGES = 200
-LAYOUTS = 400
-EPOCHS = 5
+LAYOUTS = 500
+EPOCHS = 6
 HIDDEN, VECTOR, PATHS, WORDS = 24, 16, 2048, 1024
 NUMBERS = 6
 
