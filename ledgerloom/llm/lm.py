@@ -1,22 +1,23 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 A bigram model over words (A-Z lowered, split at the six ASCII white spaces) and one end token a text. Training counts
-of all non-held-out texts give, with absolute discounting and back-off to add-one unigrams,
+of all non-held-out texts give, with absolute discounting interpolated with add-one unigrams,
 
-    p(w | v) = (c(v w) - D) / c(v)  if v w was seen,   D * n(v) / c(v) * p(w)  if only v was,   p(w)  otherwise,
+    p(w | v) = max(c(v w) - D, 0) / c(v) + D * n(v) / c(v) * p(w)  if v was seen,   p(w)  otherwise,
 
-where n(v) is the number of different successors. Every text is scored whole.
+where n(v) is the number of different successors. Over the vocabulary and one word for all unheard of ones, every
+context's probabilities add up to one (but for the rounding of the codes). Every text is scored whole.
 
 Counting and scoring are one exchange. A task takes a buffer of texts, finds its different contexts and bigrams, and
 sends each shard (chosen by the context's hash) the bigrams with their training counts. A shard sums the counts and
 builds its part of the trie: level one holds the contexts' hashes, level two the successors of each context, made
-monotone by the context's number, both as Elias-Fano sequences with Elias-Fano pointers between them, probabilities in
-one byte each, all in memory-mapped arrays. Each requested bigram is looked up by successor search within its context's
-range; one byte goes back. The buffer's texts, as word numbers, meet the answers and are added up. So texts never
+monotone by the context's number, both as Elias-Fano sequences with Elias-Fano pointers between them, the discounted
+parts of bigrams and the weights of contexts in one byte each, all in memory-mapped arrays. Each requested bigram is
+looked up by successor search within its context's range; one byte goes back, and one for each context. The buffer's texts, as word numbers, meet the answers and are added up. So texts never
 travel more than once, a bigram that a third of all rows share costs one entry a buffer, and no shard holds more than
 its part of the vocabulary. Contexts with over 1 / (`HEAVY` * shards) of all tokens are split over the shards by their
 successors; their training counts are a table of at most HEAVY * shards rows. Each bigram of such a context lies in one
-shard, so n(v) is the sum of what the shards counted, and a text's back-off weights for it are set when answers meet texts.
+shard, so n(v) is the sum of what the shards counted, and its weight is set when answers meet texts.
 
 Words are 64-bit hashes; successors are told apart within a context by 40 bits. Null texts count as empty and have the
 end token only; a null doc_id is learnt from. Repeated rows are counted and scored each. An empty table gives no rows.
@@ -44,9 +45,30 @@ HEAVY = 8
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _U = np.uint64
 _SUCCESSOR_BITS = 40
-# Probability codes: 0 to 127 seen bigrams, 128 to 254 back-off weights, 255 neither bigram nor context was seen.
-_SEEN_STEP, _BACK_STEP, _SEEN_CODES, _UNSEEN = 10 / 127, 8 / 126, 128, 255
-CODEBOOK = np.concatenate([-_SEEN_STEP * np.arange(128), -_BACK_STEP * np.arange(127), [0.0]])
+_UNSEEN = 255  # the code of bigrams and contexts that were not seen; 0 to 254 are even steps of the logarithm
+
+
+class Codes:
+    """One-byte codes: steps reach from one to the least share that `tokens` training tokens allow, so none is cut off."""
+
+    def __init__(self, tokens: int):
+        self.seen_step = np.log10(max(tokens, 1) / (1 - DISCOUNT)) / (_UNSEEN - 1)
+        self.weight_step = np.log10(max(tokens, 1) / DISCOUNT) / (_UNSEEN - 1)
+
+    def seen(self, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return self._code((count - DISCOUNT) / total, self.seen_step)
+
+    def weights(self, different: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return self._code(DISCOUNT * different / total, self.weight_step)
+
+    @staticmethod
+    def _code(share: np.ndarray, step: float) -> np.ndarray:
+        return np.clip(np.rint(-np.log10(share) / step), 0, _UNSEEN - 1).astype(np.uint8)
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """What codes stand for: discounted parts (0 of unseen bigrams) and weights (1 of unseen contexts)."""
+        steps = np.arange(_UNSEEN)
+        return np.append(10.0 ** (-self.seen_step * steps), 0.0), np.append(10.0 ** (-self.weight_step * steps), 1.0)
 
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +91,6 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def _back_codes(different: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return (_SEEN_CODES + np.clip(np.rint(-np.log10(DISCOUNT * different / total) / _BACK_STEP), 0, 126)).astype(np.uint8)
-
-
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (mix(hashes ^ _U(0xA5A5A5A5)) % _U(shards)).astype(np.int64)
 
@@ -152,9 +170,9 @@ def _requests(shards: int, heavy_words):
 class Trie:
     """Two levels in memory-mapped arrays; the file is unlinked as soon as it is mapped, so nothing is left behind."""
 
-    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, seen: np.ndarray, back: np.ndarray):
+    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, seen: np.ndarray, weights: np.ndarray):
         owner = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(pointers))
-        parts = [*EliasFano.parts(contexts), *EliasFano.parts(pointers.astype(np.uint64)), *EliasFano.parts(owner << _U(_SUCCESSOR_BITS) | successors), seen, back]
+        parts = [*EliasFano.parts(contexts), *EliasFano.parts(pointers.astype(np.uint64)), *EliasFano.parts(owner << _U(_SUCCESSOR_BITS) | successors), seen, weights]
         places, size = [], 0
         for part in parts:
             size = -(-size // 8) * 8
@@ -173,7 +191,7 @@ class Trie:
             os.unlink(path)
         levels = [np.ndarray(p.shape, p.dtype, mapped, place) for p, place in zip(parts, places)]
         self.contexts, self.pointers, self.successors = (EliasFano(*levels[i : i + 4]) for i in (0, 4, 8))
-        self.seen, self.back = levels[12:]
+        self.seen, self.weights = levels[12:]
 
     def context(self, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.contexts.successor(words_)
@@ -186,18 +204,18 @@ class Trie:
             place = place[at]
             index, exact = self.successors.successor(place.astype(np.uint64) << _U(_SUCCESSOR_BITS) | successors[at])
             inside = exact & (index < self.pointers.get(place + 1).astype(np.int64))
-            out[at] = np.where(inside, self.seen[np.minimum(index, max(len(self.seen) - 1, 0))], self.back[place])
+            out[at] = np.where(inside, self.seen[np.minimum(index, max(len(self.seen) - 1, 0))], _UNSEEN)
         return out
 
 
 _SPREAD = pa.list_(pa.struct([("word", pa.int64()), ("successors", pa.int64())]))
-_ANSWER = "buffer bigint, shard int, codes binary, times binary, spread array<struct<word:bigint,successors:bigint>>"
+_ANSWER = "buffer bigint, shard int, codes binary, times binary, weights binary, spread array<struct<word:bigint,successors:bigint>>"
 
 
-def _answers(heavy_words, heavy_counts):
-    """Codes of the requested bigrams and counts of the contexts; a shard's first row has its successors of split contexts.
+def _answers(book: Codes, heavy_words, heavy_counts):
+    """Codes of the requested bigrams, counts and weights of the contexts; a shard's first row has its successors of split contexts.
 
-    Counts and back-off codes of split contexts are those of a slice here; `_score` puts the whole ones in their place.
+    Counts and weights of split contexts are those of a slice here; `_score` puts the whole ones in their place.
     """
 
     def solve(name: int, shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -224,19 +242,19 @@ def _answers(heavy_words, heavy_counts):
             total = np.where(heavy, heavy_counts.value[spot], total)
             spread = [{"word": w, "successors": int(n)} for w, n in zip(level[heavy].view(np.int64).tolist(), different[heavy].tolist())]
         owner = np.repeat(np.arange(len(level)), np.diff(pointers))
-        seen = np.clip(np.rint(-np.log10((seen_count - DISCOUNT) / total[owner]) / _SEEN_STEP), 0, _SEEN_CODES - 1).astype(np.uint8)
-        back = _back_codes(different, total)
-        trie = Trie(level, pointers, successor[kept], seen, back)
+        trie = Trie(level, pointers, successor[kept], book.seen(seen_count, total[owner]), book.weights(different, total))
         place, known = trie.context(context)
         code = np.empty(len(order), np.uint8)
         code[order] = trie.codes(place, known, successor)[pair]
         at = 0
         for (buffer, *_), asked, n in zip(rows, contexts, sizes):
             place, known = trie.context(asked)
-            times = np.where(known, total[np.minimum(place, max(len(total) - 1, 0))] if len(total) else 0, 0).astype(np.uint64)
+            place = np.minimum(place, max(len(total) - 1, 0))
+            times = np.where(known, total[place] if len(total) else 0, 0).astype(np.uint64)
+            weights = np.where(known, trie.weights[place] if len(total) else 0, _UNSEEN).astype(np.uint8)
             more = int(n.sum())
-            blobs = pa.array([pack(code[at : at + more])], pa.binary()), pa.array([pack(times)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([buffer]), pa.array([shard], pa.int32()), *blobs, pa.array([None if at else spread], _SPREAD)], ["buffer", "shard", "codes", "times", "spread"])
+            blobs = (pa.array([pack(b)], pa.binary()) for b in (code[at : at + more], times, weights))
+            yield pa.RecordBatch.from_arrays([pa.array([buffer]), pa.array([shard], pa.int32()), *blobs, pa.array([None if at else spread], _SPREAD)], ["buffer", "shard", "codes", "times", "weights", "spread"])
             at += more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +297,9 @@ def _texts(shards: int, heavy_words):
     return run
 
 
-def _score(tokens: int, vocabulary: int, ends: int, heavy_counts, heavy_back):
+def _score(book: Codes, tokens: int, vocabulary: int, ends: int, heavy_counts, heavy_weights):
+    seen_share, weight_share = book.shares()
+
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         parts = {r[0]: r[1:] for r in rows}
         edges, heavy, (last, n_words, *place) = (unpack(b).astype(np.int64) for b in parts[-2])
@@ -288,27 +308,23 @@ def _score(tokens: int, vocabulary: int, ends: int, heavy_counts, heavy_back):
         keys, row = _Buffer.pairs(ids, counts)
         different, where = np.unique(keys, return_inverse=True)
         shard, order = _dealt(different, edges, heavy)
-        code = np.empty(len(different), np.int64)
+        code = np.empty(len(different), np.uint8)
         code[order] = np.concatenate([unpack(parts[s][0]) for s in sorted(k for k in parts if k >= 0)])
-        times = np.zeros(n_words, np.int64)
+        times, weight = np.zeros(n_words, np.int64), np.full(n_words, _UNSEEN, np.uint8)
         at = 0
         for s in sorted(k for k in parts if k >= 0):
             context = different[order[at : at + int.from_bytes(parts[s][0][:8], "little")]] >> 32
             heads = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            times[context[heads]] = unpack(parts[s][1])
+            times[context[heads]], weight[context[heads]] = unpack(parts[s][1]), unpack(parts[s][2])
             at += len(context)
         times[last] = ends
         if len(heavy):
-            times[heavy] = heavy_counts.value[place]
-            whole = np.full(n_words, -1, np.int64)
-            whole[heavy] = heavy_back.value[place]
-            whole = whole[different >> 32]
-            code = np.where((whole >= 0) & (code >= _SEEN_CODES), whole, code)
+            times[heavy], weight[heavy] = heavy_counts.value[place], heavy_weights.value[place]
         unigram = np.log10(times + 1.0)
         token = keys & 0xFFFFFFFF
         base = np.bincount(row, weights=unigram[token], minlength=len(counts)) - counts * np.log10(tokens + vocabulary + 1.0)
-        code = code[where]
-        model = CODEBOOK[code] + np.where(code < _SEEN_CODES, 0.0, unigram[token] - np.log10(tokens + vocabulary + 1.0))
+        context, token_of = different >> 32, different & 0xFFFFFFFF
+        model = np.log10(seen_share[code] + weight_share[weight[context]] * ((times[token_of] + 1.0) / (tokens + vocabulary + 1.0)))[where]
         known = np.bincount(row, weights=times[token] > 0, minlength=len(counts)).astype(np.int64)
         score = np.bincount(row, weights=model, minlength=len(counts))
         columns = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), *(pa.array(x) for x in (counts, known, np.full(len(counts), tokens), base, score))]
@@ -353,9 +369,10 @@ def score_documents(documents: DataFrame, held_out: Column, heavy: int = HEAVY,
     split = sorted((np.int64(r.word).view(np.uint64), r.learnt) for r in split)
     heavy_words = spark.sparkContext.broadcast(np.array([w for w, _ in split], np.uint64))
     heavy_counts = spark.sparkContext.broadcast(np.array([n for _, n in split], np.float64))
+    book = Codes(sums["tokens"] or 0)
     requests = docs.select("row", "held_out", "text").mapInArrow(_requests(shards, heavy_words), _REQUEST)
-    dealt = requests.repartition(shards, "shard").sortWithinPartitions("shard", "buffer")
-    answers = written(dealt.mapInArrow(_answers(heavy_words, heavy_counts), _ANSWER), "answers")
+    dealt = requests.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "buffer")
+    answers = written(dealt.mapInArrow(_answers(book, heavy_words, heavy_counts), _ANSWER), "answers")
     spread = {}
     if split:
         # At most one row a split context.
@@ -363,10 +380,10 @@ def score_documents(documents: DataFrame, held_out: Column, heavy: int = HEAVY,
         spread = {np.int64(r.word).view(np.uint64): r.successors for r in summed.collect()}
     different = np.array([spread.get(w, 0) for w, _ in split], np.float64)
     learnt = heavy_counts.value > 0
-    back = np.full(len(split), _UNSEEN, np.int64)
-    back[learnt] = _back_codes(different[learnt], heavy_counts.value[learnt])
-    heavy_back = spark.sparkContext.broadcast(back)
+    weights = np.full(len(split), _UNSEEN, np.uint8)
+    weights[learnt] = book.weights(different[learnt], heavy_counts.value[learnt])
+    heavy_weights = spark.sparkContext.broadcast(weights)
     texts = docs.mapInArrow(_texts(shards, heavy_words), _PART)
-    both = texts.unionByName(answers.select("buffer", "shard", F.col("codes").alias("a"), F.col("times").alias("b"), F.lit(None).cast("binary").alias("c")))
+    both = texts.unionByName(answers.select("buffer", "shard", F.col("codes").alias("a"), F.col("times").alias("b"), F.col("weights").alias("c")))
     result = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return both.repartition(shards, "buffer").sortWithinPartitions("buffer", "shard").mapInArrow(_score(sums["tokens"] or 0, sums["vocabulary"] or 0, sums["ends"] or 0, heavy_counts, heavy_back), result)
+    return both.repartition(shards, "buffer").sortWithinPartitions("buffer", "shard").mapInArrow(_score(book, sums["tokens"] or 0, sums["vocabulary"] or 0, sums["ends"] or 0, heavy_counts, heavy_weights), result)
