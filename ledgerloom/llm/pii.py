@@ -12,7 +12,10 @@ to their shape and removes the pattern spans behind a label.
 
 Texts, entities, terms and pairs are all counted in different texts, so that copies of one text count once, and at least
 `SUPPORT` of them are needed: a chance neighbour is no evidence. Pairs are those of whole texts, for entities that have
-the support. Term frequencies come from one pass over all words, added up in each task before the shuffle.
+the support. Term frequencies come from one pass over all words, added up in each task before the shuffle. Texts that
+stand once are counted where they are; only those whose hash falls into a marked slot, of `SLOTS` that texts with copies
+mark, go through a shuffle that tells the one to count, each task sending one of its copies. Slots that others share
+cost a shuffle of more texts, never a wrong count.
 
 Null texts count as empty; an empty text has no spans. Repeated rows are handled each; they add no evidence. An empty table gives an empty result.
 """
@@ -34,6 +37,7 @@ from ledgerloom.llm.textbytes import LOWER, WORD, prefix_sums, runs, span_hashes
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 DISCLOSURE = 0.8
+SLOTS = 1 << 26  # the table of marked slots has at most SLOTS / 64 rows of two longs
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,7 +113,7 @@ _FOUND = "row bigint, doc_id bigint, same bigint, spans array<struct<kind:tinyin
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of every text; of texts that have any, the different entities and all words outside of spans."""
     for batch in batches:
-        same, spans_out, entities_out, words_out = [], [], [], []
+        spans_out, entities_out, words_out = [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             spans = base_spans(text)
@@ -121,11 +125,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entities.add(xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63))
                 if places := _outside(lowered, spans):
                     places = [(h, a, b) for h, (a, b) in zip(term_hashes([lowered[a:b] for a, b in places]), places)]
-            same.append(xxhash.xxh64_intdigest(text) - (1 << 63))
             spans_out.append(spans)
             entities_out.append(list(entities))
             words_out.append(places)
-        columns = pa.array(same, pa.int64()), pa.array(spans_out, pa.list_(_SPAN)), pa.array(entities_out, pa.list_(pa.int64())), pa.array(words_out, pa.list_(_WORD))
+        columns = batch.column("same"), pa.array(spans_out, pa.list_(_SPAN)), pa.array(entities_out, pa.list_(pa.int64())), pa.array(words_out, pa.list_(_WORD))
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "same", "spans", "entities", "words"])
 
 
@@ -158,12 +161,38 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows with the same hash the first one; rows come in order, so it is the only one that can be kept."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for same in batch.column("same").to_pylist():
+            fresh.append(same not in seen)
+            seen.add(same)
+        yield batch.filter(pa.array(fresh, pa.bool_())).select(["row", "text"])
+
+
+def _different_texts(docs: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each text of `docs` once: those that stand in no marked slot, and the first of each group among the others."""
+    slot = F.pmod("same", F.lit(SLOTS))
+    word, bit = F.shiftright(slot, 6), (slot % 64).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    marked = groups.where(F.col("rows") > 1).groupBy(word.alias("word")).agg(F.bit_or(mark).alias("bits"))
+    told = docs.withColumn("word", word).join(F.broadcast(written(marked, "marked")), "word", "left")
+    copied = F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    one_a_task = told.where(copied).select("row", "same", "text").mapInArrow(_first_copies, "row bigint, text string")
+    first = groups.select("first_row").hint("shuffle_hash")
+    return told.where(~copied).select("text"), one_a_task.join(first, F.col("row") == F.col("first_row"), "left_semi").select("text")
+
+
 def find_private(documents: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """row, doc_id, spans (pattern spans: kind, start, end), terms (start, end of disclosing terms) of every document."""
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = written(docs.mapInArrow(_find, _FOUND), "private")
-    firsts = written(found.groupBy("same").agg(F.min("row").alias("first_row")).select("first_row"), "firsts")
-    texts = float(max(firsts.count(), 1))
+    groups = written(found.groupBy("same").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("rows")), "groups")
+    firsts = groups.select("first_row")
+    texts = float(max(groups.count(), 1))
     first = F.col("row") == F.col("first_row")
     held = found.where(F.size("entities") > 0)
     named = held.select("row", F.explode("entities").alias("entity"))
@@ -173,8 +202,9 @@ def find_private(documents: DataFrame, support: int = SUPPORT, disclosure: float
     whole = written(held.select("row", "words").join(asked, "row").join(firsts, first, "left").select("row", "asked", "words", F.col("first_row").isNotNull().alias("first")), "asked")
     evidence = whole.where("first").select(F.explode("asked").alias("entity"), "words")
     pairs = evidence.select("entity", F.explode(F.array_distinct("words.term")).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    different = docs.select("row", "text").join(firsts.hint("shuffle_hash"), first, "left_semi")
-    frequency = different.select("text").mapInArrow(_frequencies, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
+    alone, copied = _different_texts(docs, groups)
+    counted = [part.mapInArrow(_frequencies, "term bigint, docs bigint") for part in (alone, copied)]
+    frequency = counted[0].unionByName(counted[1]).groupBy("term").agg(F.sum("docs").alias("docs"))
     content = F.log2(F.lit(texts) / F.col("seen"))
     pmi = F.log2(F.col("both") * F.lit(texts) / (F.col("seen") * F.col("docs")))
     revealing = pairs.join(entities, "entity").join(frequency, "term").where(pmi >= disclosure * content).select("entity", "term")

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -84,3 +86,53 @@ def test_disclosing_terms_in_copies_and_far_away(spark):
     out = {r.doc_id: r for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         assert [text[t.start : t.end] for t in out[i].terms] == (["Quillon", "quillon"] if i >= 1000 else [])
+
+
+def slow_terms(texts):
+    """text -> places of the terms that give an entity of that text away, by the definition, over the different texts."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    ascii_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held, seen, both, docs = {}, Counter(), Counter(), Counter()
+    for text in {t or "" for t in texts}:
+        lowered, spans = text.translate(ascii_lower), slow_spans(text)
+        entities = {(k, lowered[a:b] if k < 2 else re.sub("[^0-9]", "", lowered[a:b])) for k, a, b in spans}
+        free = [m for m in word.finditer(lowered) if not m.group().isdigit() and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        held[text] = entities, free
+        docs.update(set(word.findall(lowered)))
+        seen.update(entities)
+        both.update((e, t) for e in entities for t in {m.group() for m in free})
+    n = len(held)
+    tells = {
+        (e, t) for (e, t), k in both.items()
+        if k >= pii.SUPPORT and seen[e] < n and math.log2(k * n / (seen[e] * docs[t])) >= pii.DISCLOSURE * math.log2(n / seen[e])
+    }
+    return {text: [m.span() for m in free if any((e, m.group()) in tells for e in entities)] for text, (entities, free) in held.items()}
+
+
+@pytest.mark.parametrize("slots", [pii.SLOTS, 64])
+def test_terms_against_brute_force(spark, monkeypatch, slots):
+    """With 64 slots, texts without copies share marked slots with copied ones."""
+    monkeypatch.setattr(pii, "SLOTS", slots)
+    rng = random.Random(6)
+    names, common = [f"Name{i}" for i in range(30)], [f"c{i}x" for i in range(25)]
+    texts = [None, "", "8.8.8.8", "Name1 8.8.8.8"]
+    for i in range(260):
+        who = rng.randrange(30)
+        parts = rng.choices(common, k=rng.randint(1, 12)) + rng.choices(names, k=rng.randint(0, 2))
+        if rng.random() < 0.6:
+            parts += [f"n{who}@mail.example.org", names[who]] + [f"10.0.0.{who % 4}"] * (who % 3 == 0)
+        rng.shuffle(parts)
+        texts += [" ".join(parts)] * rng.choice([1, 1, 1, 2, 30])
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_terms(texts)
+    got = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in pii.find_private(df).collect()}
+    assert got == {i: want[t or ""] for i, t in enumerate(texts)} and sum(map(bool, got.values())) > 50
+
+
+def test_terms_of_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = slow_terms(texts.values())
+    for r in pii.find_private(docs).collect():
+        assert [(t.start, t.end) for t in r.terms] == want[texts[r.doc_id] or ""]
