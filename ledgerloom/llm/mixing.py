@@ -108,15 +108,19 @@ def _stops(rated: DataFrame) -> DataFrame:
     keyed = written(rated.where("key IS NOT NULL").select("place", "size", "key", "bin", F.floor(F.col("bin") / _BINS).alias("coarse")), "keys")
     need = rated.groupBy("place").agg((F.max("target") - F.sum(F.col("size") * F.col("whole"))).alias("need"))
 
-    def reached(rows: DataFrame, by: str) -> DataFrame:
-        """The last `by` of each source whose predecessors together don't exceed the need, and what they leave of it."""
+    def reached(rows: DataFrame, by: str, need: DataFrame) -> DataFrame:
+        """The last `by` of each source whose predecessors together don't exceed the need, and what they leave of it.
+
+        Sums are finished by (source, bin) first; a window straight upon them would bring every task's part of a large
+        source together.
+        """
         before = Window.partitionBy("place").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        sums = rows.groupBy("place", "need", by).agg(F.sum("size").alias("words"))
+        sums = written(rows.groupBy("place", by).agg(F.sum("size").alias("words")), "sums").join(need, "place")
         sums = sums.withColumn("left", F.col("need") - F.coalesce(F.sum("words").over(before), F.lit(0)))
         return sums.where("left >= 0").groupBy("place").agg(F.max(by).alias(by), F.min("left").alias("need"))
 
-    coarse = reached(keyed.join(need, "place"), "coarse")
-    fine = written(reached(keyed.join(coarse, ["place", "coarse"]), "bin"), "bins")
+    coarse = written(reached(keyed, "coarse", need), "coarse")
+    fine = written(reached(keyed.join(coarse, ["place", "coarse"]), "bin", coarse.select("place", "need")), "bins")
     upto = Window.partitionBy("place").orderBy("key")
     ends = keyed.join(fine, ["place", "bin"]).groupBy("place", "bin", "need", "key").agg(F.sum("size").alias("words"))
     ends = ends.withColumn("upto", F.sum("words").over(upto))
