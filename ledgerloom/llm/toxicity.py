@@ -36,6 +36,7 @@ TRAIN_ROWS = 5000
 EPOCHS = 50
 FOLDS = 3
 BATCH = 256
+BLOCK = 1 << 14  # vectors that Adam changes at a time
 RATE = 0.1
 SHRINKAGE = (0.6, 2.5)  # the better one out of fold
 MIN_ROWS = 10
@@ -81,9 +82,10 @@ def _sigmoid(x):
 def _adam(bucket: np.ndarray, weight: np.ndarray, edges: np.ndarray, width: int, labels: np.ndarray, train: np.ndarray, shrinkage: float) -> tuple[np.ndarray, float]:
     """One number per bucket (embedding times softmax) and the bias, after EPOCHS over the rows of `train`."""
     rng = np.random.default_rng(0)
-    table = rng.normal(0, 0.1, (width, DIMENSION)).astype(np.float32)
+    table = np.ascontiguousarray(rng.normal(0, 0.1, (width, DIMENSION)).astype(np.float32).T)
     slope, bias = rng.normal(0, 1, DIMENSION).astype(np.float32), 0.0
-    moments = [[np.zeros_like(table), np.zeros_like(table)], [np.zeros_like(slope), np.zeros_like(slope)], [0.0, 0.0]]
+    first, second = np.zeros_like(table), np.zeros_like(table)
+    moments = [[np.zeros_like(slope), np.zeros_like(slope)], [0.0, 0.0]]
     positive = labels[train].mean()
     cost = np.where(labels == 1, min(0.5 / max(positive, 0.05), 10), min(0.5 / max(1 - positive, 0.05), 10))
     batch = min(BATCH, max(16, len(train) // 10))
@@ -94,39 +96,61 @@ def _adam(bucket: np.ndarray, weight: np.ndarray, edges: np.ndarray, width: int,
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
             sizes = edges[part + 1] - edges[part]
-            at = np.repeat(edges[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            inside = np.repeat(np.arange(len(part)), sizes)
-            effect = table @ slope
-            mean = np.bincount(inside, weights=weight[at] * effect[bucket[at]], minlength=len(part))
+            spans = [slice(a, b) for a, b in zip(edges[part].tolist(), edges[part + 1].tolist())]
+            buckets, weights = np.concatenate([bucket[s] for s in spans]), np.concatenate([weight[s] for s in spans])
+            mean, some = np.zeros(len(part)), sizes > 0
+            if some.any():
+                mean[some] = np.add.reduceat(weights * (slope @ table)[buckets], (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
             error = (_sigmoid(mean + bias) - labels[part]) * cost[part] / len(part)
-            pull = np.bincount(bucket[at], weights=weight[at] * error[inside], minlength=width).astype(np.float32)
+            pull = np.bincount(buckets, weights=weights * np.repeat(error.astype(np.float32), sizes), minlength=width).astype(np.float32)
             step += 1
+            fresh, settled = 1 - 0.9**step, 1 - 0.999**step
             changes = []
-            for pair, gradient in zip(moments, (pull[:, None] * slope, table.T @ pull, error.sum())):
+            for pair, gradient in zip(moments, (table @ pull, error.sum())):
                 pair[0] = 0.9 * pair[0] + 0.1 * gradient
                 pair[1] = 0.999 * pair[1] + 0.001 * gradient * gradient
-                changes.append(rate * (pair[0] / (1 - 0.9**step)) / (np.sqrt(pair[1] / (1 - 0.999**step)) + 1e-8))
-            table, slope, bias = table - changes[0], slope - changes[1], bias - changes[2]
-            # Vectors that little evidence holds up shrink to zero, else rare n-grams of single texts are learnt by heart.
-            table *= np.maximum(0, 1 - rate * shrinkage / np.maximum(np.sqrt((table * table).sum(axis=1, keepdims=True)), 1e-9))
-    return table @ slope, float(bias)
+                changes.append(rate * (pair[0] / fresh) / (np.sqrt(pair[1] / settled) + 1e-8))
+            for at in range(0, width, BLOCK):
+                span = slice(at, at + BLOCK)
+                _step(table[:, span], first[:, span], second[:, span], slope[:, None] * pull[span], rate / fresh, settled**-0.5, rate * shrinkage)
+            slope, bias = slope - changes[0], bias - changes[1]
+    return slope @ table, float(bias)
+
+
+def _step(table: np.ndarray, first: np.ndarray, second: np.ndarray, gradient: np.ndarray, rate: float, scale: float, shrink: float) -> None:
+    """Adam's step for a block of vectors (columns), in place, while it is in the processor's cache."""
+    first *= 0.9
+    first += 0.1 * gradient
+    second *= 0.999
+    np.multiply(gradient, gradient, out=gradient)
+    gradient *= 0.001
+    second += gradient
+    spread = np.sqrt(second, out=gradient)
+    spread *= scale
+    spread += 1e-8
+    np.divide(first, spread, out=spread)
+    spread *= rate
+    table -= spread
+    # Vectors that little evidence holds up shrink to zero, else rare n-grams of single texts are learnt by heart.
+    table *= np.maximum(0, 1 - shrink / np.maximum(np.sqrt(np.einsum("ij,ij->j", table, table)), 1e-9))
 
 
 class _Sample:
     """The distinct features of the sample's texts that enough rows have, and the fits on parts of it."""
 
     def __init__(self, texts: pa.Array, labels: np.ndarray, counted: np.ndarray):
-        rows_with = np.zeros(BUCKETS, np.int64)
-        for row, bucket, _ in _bags(texts):
-            rows_with += np.bincount(bucket[counted[row]], minlength=BUCKETS)
+        bags, rows_with = [], np.zeros(BUCKETS, np.int64)
+        for row, bucket, weight in _bags(texts):
+            rows_with += np.bincount(bucket if counted.all() else bucket[counted[row]], minlength=BUCKETS)
+            bags.append((row, bucket, weight))
         self.common = np.flatnonzero(rows_with >= min(MIN_ROWS, 1 + len(labels) // 100))
         place = np.full(BUCKETS, -1, np.int32)
         place[self.common] = np.arange(len(self.common))
-        bags = []
-        for row, bucket, weight in _bags(texts):
-            keep = place[bucket] >= 0
-            bags.append((row[keep], place[bucket[keep]], weight[keep]))
-        self.row, self.bucket, self.weight = (np.concatenate(part) for part in zip(*bags))
+        for i, (row, bucket, weight) in enumerate(bags):
+            bucket = place[bucket]
+            keep = bucket >= 0
+            bags[i] = row[keep], bucket[keep], weight[keep]
+        self.row, self.bucket, self.weight = (np.concatenate([bag[i] for bag in bags]) for i in range(3))
         self.edges, self.labels = np.searchsorted(self.row, np.arange(len(labels) + 1)), labels
 
     def fit(self, train: np.ndarray, shrinkage: float) -> tuple[np.ndarray, float, np.ndarray]:
