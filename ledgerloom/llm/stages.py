@@ -11,9 +11,14 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; where it is unset (tests), one of our own is set for the session."""
+    """The folder the cluster names; where it is unset (tests), one of our own is set for the session.
+
+    On a cluster it has to be set: executors would not see each other's files in a folder of one machine.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='run-', dir='/tmp')}"
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
