@@ -106,3 +106,21 @@ def test_nfkc_only_where_needed(col):
 )
 def test_fuzzy(a, b, kind, want):
     assert fuzzy.SCORERS[kind](a, b) == pytest.approx(want, abs=1e-3)
+
+
+def test_filename_type_tries_patterns_only_on_names_with_their_word(col):
+    """Every pattern of the list still decides; the plan folds the name once."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import contracts as fc
+    from ledgerloom.functions import fixed
+
+    assert fc._needed_word(r"\b(?:deconversion\s+and\s+)?termination\s+agreement\b") == "termination"
+    assert fc._needed_word(r"\bservices?\b") == "service"
+    names = ["A_Master_Service_Agreement.pdf", "DECONVERSION AGREEMENT", "sub-Amendment_2", "subamendment", "Wor\u212a order", "work.order", None, "",
+             *[re.sub(r"\\[bs]\+?|\(\?:|\)\?|[?*]|\[[^\]]*\]", " ", p) for p, _ in fixed.FILENAME_TYPES]]
+    want = [next((kind for p, kind in fixed.FILENAME_TYPES if re.search(f"(?ia){p}", re.sub("[_.]", " ", n or ""))), None) for n in names]
+    assert col(fc.filename_type, names) == want
+    assert str(fc.filename_type(F.col("v"))._jc.toString()).count("translate") <= 1
