@@ -15,6 +15,17 @@ def test_pairs_equal_brute_force(spark):
     assert {(r.text, r.needle) for r in contains_pairs(hay, needles, "text", "needle").collect()} == {(TEXTS[i], NEEDLES[j]) for i, j in want}
 
 
+def test_texts_of_one_file_meet_without_grams(spark):
+    """Needles of a document meet its own lines by its name; exploding every gram of a page does not end on 0.1 GB."""
+    hay = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate([*TEXTS, *TEXTS])], "f int, i int, text string")
+    needles = spark.createDataFrame([(j % 2, j, n) for j, n in enumerate([*NEEDLES, *NEEDLES])], "f int, j int, needle string")
+    out = contains_join(hay, needles, "text", "needle", on=["f"])
+    want = sorted((i, j) for i, t in enumerate([*TEXTS, *TEXTS]) for j, n in enumerate([*NEEDLES, *NEEDLES]) if i % 2 == j % 2 and t and n and n in t)
+    assert out.columns == ["f", "i", "text", "j", "needle"]
+    assert sorted((r.i, r.j) for r in out.collect()) == want
+    assert "explode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grams_are_never_broadcast(spark):
     """Explode does not raise Spark's size estimate, so only the one-row table of levels may be broadcast."""
     clients = spark.createDataFrame([("Alpha FCU",)], "client string")
