@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def _compat_class() -> str:
-    """Regex class of characters whose NFKC form differs and holds an ASCII letter or digit."""
+    """Regex of a character whose NFKC form differs and holds an ASCII letter or digit."""
     points = []
     for cp in range(0x80, 0x20000):
         if 0xD800 <= cp <= 0xDFFF:
@@ -24,7 +24,8 @@ def _compat_class() -> str:
         if nxt != cp + 1:
             spans.append(rf"\x{{{start:x}}}-\x{{{cp:x}}}")
             start = None
-    return "[" + "".join(spans) + r"\p{M}]"
+    # the class has hundreds of ranges that are tried one by one, so ASCII never gets to it
+    return r"(?=[^\x00-\x7f])[" + "".join(spans) + r"\p{M}]"
 
 
 COMPAT = _compat_class()
@@ -37,5 +38,5 @@ def nfkc(text: Column) -> Column:
     def fold(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    affected = F.when(F.rlike(text, F.lit(COMPAT)), text)
+    affected = F.when(F.rlike(text, F.lit(r"[^\x00-\x7f]")) & F.rlike(text, F.lit(COMPAT)), text)
     return F.coalesce(fold(affected), text)
