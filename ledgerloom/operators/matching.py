@@ -11,6 +11,7 @@ from ledgerloom.functions.money import clean_price, norm_code
 from ledgerloom.functions.names import client_signature, entity_tokens, norm_client
 from ledgerloom.functions.text import nonblank, squeeze, strip, word_list
 from ledgerloom.operators.contains import contains_pairs
+from ledgerloom.operators.spread import meet
 
 
 def billable_items(items: DataFrame) -> DataFrame:
@@ -126,13 +127,18 @@ def keyword_pool(items: DataFrame, dictionary: DataFrame, keywords: DataFrame) -
     )
     named = contains_pairs(asked, keywords, "_item", "keyword").join(asked, "_item").select("item", "keyword")
     held = contains_pairs(rows, keywords, "_row", "keyword").join(rows, "_row").select("position", "keyword")
-    return named.join(held, "keyword").select("item", "position").distinct()
+    # Sets of keywords meet once, then the items and rows that have them: no pair comes twice, none is sorted out later.
+    words = lambda df, by, name: df.groupBy(by).agg(F.array_sort(F.collect_set("keyword")).alias(name))
+    named, held = words(named, "item", "_asked"), words(held, "position", "_held")
+    each = lambda df, name: df.select(name).distinct().withColumn("keyword", F.explode(name))
+    sets = each(named, "_asked").join(each(held, "_held"), "keyword").select("_asked", "_held").distinct()
+    return meet(named.join(sets, "_asked").select("item", "_held"), held, ["_held"]).select("item", "position")
 
 
 def candidate_pool(section_rows: DataFrame, keyword_rows: DataFrame, items: DataFrame) -> DataFrame:
     """(item, position, full): both pools together; items without any are marked for the whole dictionary."""
     pool = section_rows.select("item", "position").unionByName(keyword_rows.select("item", "position")).distinct()
-    empty = items.select("item").distinct().join(pool, "item", "left_anti")
+    empty = items.select("item").distinct().join(pool.select("item").distinct(), "item", "left_anti")
     return pool.withColumn("full", F.lit(False)).unionByName(
         empty.select("item", F.lit(None).cast("bigint").alias("position"), F.lit(True).alias("full"))
     )
