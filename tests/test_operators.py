@@ -240,3 +240,35 @@ def test_lookups_read_every_line(spark):
     lines = spark.range(3000).selectExpr("cast(id as string) as document", "'X1' as material")
     asked = spark.createDataFrame([(1, "x1")], "question_id int, code string")
     assert inv.invoice_by_material(lines, asked).count() == 3000
+
+
+def test_billing_texts_and_medians_are_shuffled_once(spark):
+    from ledgerloom.functions.names import norm_company
+    from ledgerloom.operators import invoices as inv
+    from ledgerloom.operators import validation as v
+
+    lines = spark.createDataFrame(
+        [("A", "d1", 1, "m1", "The Fee & Co", 10.0, 2.0), ("A", "d1", 2, "m1", "The Fee & Co", 30.0, 2.0), ("A", "d2", 1, "m2", "fee company", -8.0, 1.0), ("B", "d2", 1, "m1", "", 5.0, 0.0)],
+        "client string, document string, line_no int, material string, material_text string, net double, quantity double",
+    ).withColumn("invoice_date", F.to_date(F.lit("2020-01-01"))).withColumn("hier_name", F.lit("Hier"))
+    codes = spark.createDataFrame(
+        [("A", "k.pdf", "2", "m1", "x", "", "$1"), ("A", "k.pdf", "1.0", "m1", "x", "", "$2"), ("A", "k.pdf", "3", "q9", "FEE COMPANY", "", "$3"), ("A", "", "4", "q8", "none", "", "")],
+        "client string, source_contract string, page string, code string, description string, item string, price string")
+    got = sorted(tuple(r) for r in inv.reconcile(codes, lines).select("bucket", "client", F.coalesce("code", F.lit("")), F.coalesce("contract_pages", F.lit("-")), F.coalesce("invoice_code", F.lit("")), F.coalesce("invoice_docs", F.lit(0))).collect())
+    assert got == [("CONTRACT_ONLY", "A", "q8", "", "", 0), ("INVOICE_ONLY", "A", "", "-", "m2", 1), ("INVOICE_ONLY", "B", "", "-", "m1", 1), ("MATCH", "A", "m1", "1,2", "m1", 1),
+                   ("MATCH", "A", "m1", "1,2", "m1", 1), ("MISMATCH", "A", "q9", "3", "m1", 2)]
+    stats = v.code_stats(lines)
+    assert sorted((r.client, r.code, r.median_net, r.median_unit) for r in stats.collect()) == [("A", "m1", 20.0, 10.0), ("A", "m2", -8.0, 8.0), ("B", "m1", 5.0, None)]
+    asked = spark.createDataFrame([("A", "i1", 9.0), ("A", "i2", 21.0), ("A", "i2", 21.0), ("A", "i3", 0.0), ("B", "i4", 6.0)], "client string, item_id string, unit_price double")
+    band = v.price_band_codes(asked, stats)
+    assert sorted(map(tuple, band.collect())) == [("A", "i1", "m1"), ("A", "i1", "m2"), ("A", "i2", "m1"), ("A", "i2", "m1"), ("B", "i4", "m1")]
+    # two shuffles for the distinct counts, one for all medians; the join has none
+    assert stats._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 3
+
+
+def test_norm_company_of_odd_texts(col):
+    from ledgerloom.functions.names import norm_company
+
+    texts = ["FCU & CO", "the corp of a", "", None, "Natl Assn", "red  anvil & LARGE", "COOP inc-co", "F.C.U. intl"]
+    assert col(norm_company, texts) == [
+        "FEDERAL CREDIT UNION COMPANY", "CORPORATION", "", "", "NATIONAL ASSOCIATION", "RED ANVIL LARGE", "COOP COMPANY", "FEDERAL CREDIT UNION INTERNATIONAL"]
