@@ -1,6 +1,6 @@
 """Substring joins against all pairs, and without broadcasts of exploded sides."""
 
-from ledgerloom.operators.contains import contains_join, contains_pairs
+from ledgerloom.operators.contains import LEVELS, _grams, _seeds, contains_join, contains_pairs
 from ledgerloom.operators.invoices import bridge_names
 
 TEXTS = ["abcabcabcabcabc", "the quick brown fox jumps", "x", "naïve \U0001f600\U0001f601 text of the fox", "", None, "abcabcabcabcabd", "12\n34567890123456"]
@@ -33,3 +33,12 @@ def test_grams_are_never_broadcast(spark):
     out = bridge_names(clients, lines)
     assert [(r.client, r.billto, r.score) for r in out.collect()] == [("Alpha FCU", "1", 100)]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_needles_with_a_gram_in_no_text_are_no_candidates(spark):
+    """File names of one client differ in a few letters only; before, each met the texts that name any of them."""
+    hay = spark.createDataFrame([("see alpha-000000001_master_1-15-1998_7.pdf p. 9",), ("nothing here",)], "_hay string")
+    words = spark.range(300).selectExpr("concat('alpha-000000001_master_1-15-1998_', id) AS _needle").unionByName(
+        spark.createDataFrame([("fox",), ("re",)], "_needle string"))
+    grams = _grams(hay, words, ["_hay"], LEVELS)
+    assert {r._needle for r in _seeds(grams, words, [], LEVELS).collect()} == {"alpha-000000001_master_1-15-1998_7", "re"}
