@@ -1,5 +1,6 @@
 """Substring joins against all pairs, and without broadcasts of exploded sides."""
 
+from ledgerloom.operators import contains
 from ledgerloom.operators.contains import LEVELS, _grams, _seeds, contains_join, contains_pairs
 from ledgerloom.operators.invoices import bridge_names
 
@@ -42,3 +43,20 @@ def test_needles_with_a_gram_in_no_text_are_no_candidates(spark):
         spark.createDataFrame([("fox",), ("re",)], "_needle string"))
     grams = _grams(hay, words, ["_hay"], LEVELS)
     assert {r._needle for r in _seeds(grams, words, [], LEVELS).collect()} == {"alpha-000000001_master_1-15-1998_7", "re"}
+
+
+def test_grams_of_no_needle_are_not_dealt(spark):
+    """Names that hold no needle sent all of their grams through the shuffles."""
+    hay = spark.range(500).selectExpr("concat('customer-', id, ' amendment of a long name') AS _hay").unionByName(
+        spark.createDataFrame([("CTR-101 and CTR-102",)], "_hay string"))
+    words = spark.createDataFrame([("CTR-101",), ("SOW-7",)], "_needle string")
+    assert _grams(hay, words, ["_hay"], LEVELS).count() < 200
+    assert [(r._hay, r._needle) for r in contains_pairs(hay, words, "_hay", "_needle").collect()] == [("CTR-101 and CTR-102", "CTR-101")]
+
+
+def test_long_needles_are_cut_once(spark):
+    """The grams of a needle were cut again for each of them, in one task for all needles."""
+    grams = contains._needle_grams(spark.createDataFrame([("a" * 14 + "b" * 9,)], "_needle string"), [], LEVELS)
+    assert sorted({r._asked for r in grams.collect()}) == [3] and grams.count() == 3
+    assert grams._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= len(LEVELS)
+    assert contains._dealt(spark.range(9).repartition(1)).rdd.getNumPartitions() > 1
